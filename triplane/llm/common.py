@@ -105,8 +105,8 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            short = np.add.reduce(h[a:b] * MULTIPLIERS[: b - a]) + U64(b - a)
-            out.append(mix(np.array([short], U64) ^ MULTIPLIERS[63]))
+            terms = np.concatenate([h[a:b] * MULTIPLIERS[: b - a], np.array([b - a], U64)])
+            out.append(mix(np.add.reduce(terms, keepdims=True) ^ MULTIPLIERS[63]))
         else:
             out.append(np.zeros(0, U64))
     return out
