@@ -178,16 +178,20 @@ def _ranges(flags: np.ndarray, doc: np.ndarray, place: np.ndarray, shape: Shape)
     return doc[row], place[row] - (stop - 1), place[row] - first + shape.length
 
 
-def _squeezed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts as zstandard frames, which halves what a shuffle of them moves."""
+def _squeezed(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Texts as zstandard frames, which halves what a shuffle of them moves; ``carry``: columns to go along."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=1)
         data, offsets = utf8(batch.column(1))
         blobs = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], [key, "blob"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], [key, "blob", *carry])
 
-    return arrow_map(docs.select(key, text), each, f"{key} {docs.schema[key].dataType.simpleString()}, blob binary")
+    return arrow_map(docs.select(key, text, *carry), each, _columns(docs, key) + ", blob binary" + _columns(docs, *carry, lead=", "))
+
+
+def _columns(df: DataFrame, *names: str, lead: str = "") -> str:
+    return "".join(f"{lead if i == 0 else ', '}`{n}` {df.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
 
 
 def _text(blob: bytes) -> bytes:
@@ -315,19 +319,20 @@ def merged(starts: np.ndarray, stops: np.ndarray, size: int) -> list[tuple[int,
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
-def dedup(docs: DataFrame, with_text: bool = False, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row: ``key, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``spans`` and ``kept_text``.
+def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per row: ``key, n_bytes, n_removed, n_spans, kept_sha256``, then ``kept_text`` if asked for, then the
+    columns of ``docs`` named in ``carry``.
 
     Strings are judged on the input, not on what is left. Null and empty texts have 0 bytes; texts shorter
     than ``length`` lose nothing. A row with a null key has no place in the order: it keeps all and removes
     nothing elsewhere. Repeated rows (equal key and text) are one document and all get its result. A cut
     inside a character leaves bytes that are no UTF-8; ``kept_text`` leaves out such torn bytes.
-    Other columns aren't read. An empty table gives an empty one.
+    Columns not named aren't read. An empty table gives an empty one.
     """
     ranges = repeated_ranges(docs, key=key, text=text, **options)
     by_doc = ranges.groupBy(F.col("doc").alias(key)).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    blobs = _squeezed(docs, key, text)
-    kind = docs.schema[key].dataType.simpleString()
+    blobs = _squeezed(docs, key, text, carry)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -341,9 +346,8 @@ def dedup(docs: DataFrame, with_text: bool = False, key: str = "doc_id", text: s
             rest = b"".join([*kept, raw[at:]])
             rows.append((len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns][: len(names) - (not with_text)], names[: len(names) - (not with_text)])
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)][: len(results)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[4:]], [key, *results, *carry])
 
-    schema = f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return arrow_map(blobs.join(by_doc, key, "left").select(key, "blob", "starts", "stops"), each, schema)
+    schema = _columns(docs, key) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + _columns(docs, *carry, lead=", ")
+    return arrow_map(blobs.join(by_doc, key, "left").select(key, "blob", "starts", "stops", *carry), each, schema)
