@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, mix, shingles, signed, spread, utf8
 
@@ -170,8 +171,7 @@ def contaminated(
             row, item, shared = (np.array(x) for x in zip(*hits, strict=True))
             size = np.array([len(items.sets[n]) for n in item])
             ids = batch.column(0).take(pa.array(row))
-            # the ids come from a Spark column of the type given in the schema
-            return pa.RecordBatch.from_arrays([ids, pa.array([items.ids[n] for n in item]), pa.array(shared.astype(np.int64)), pa.array(shared / size)], [key, "item_id", "shared", "containment"])
+            return pa.RecordBatch.from_arrays([ids, pa.array([items.ids[n] for n in item], to_arrow_type(kinds[1])), pa.array(shared.astype(np.int64)), pa.array(shared / size)], [key, "item_id", "shared", "containment"])
 
         return arrow_map(rows, each, schema)
 
@@ -185,4 +185,4 @@ def contaminated(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark item; a row with a null key stays."""
     hit = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("_hit")).distinct()
-    return docs.join(hit, F.col(key) == F.col("_hit"), "left_anti")
+    return docs.join(hit, docs[key] == hit["_hit"], "left_anti")

@@ -235,10 +235,13 @@ def verified_links(docs: DataFrame, members: DataFrame, t: Threshold, k: int, ke
     texts = docs.select(key, text).join(dealt.select(key, "node", "cluster", "blocks", "block"), key)
 
     def with_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([s.tobytes() for s in _sets(batch.column(0), k)], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], found], ["node", "cluster", "blocks", "block", "members"])
+        nodes = batch.column(1).to_pylist()
+        # a row whose key is another row's too has another set: only the node's own set counts
+        found = [s.tobytes() if len(s) and set_node(s) == n else None for s, n in zip(_sets(batch.column(0), k), nodes, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["node", "cluster", "blocks", "block", "members"])
 
     sets = arrow_map(texts.select(text, "node", "cluster", "blocks", "block"), with_set, "node long, cluster long, blocks int, block int, members binary")
+    sets = sets.where("members IS NOT NULL")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     grid = sets.select("node", "cluster", "block", "members", other)
     grid = grid.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})

@@ -100,10 +100,12 @@ def triggers(data: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.nd
 
 
 def _kept_order(key: np.ndarray, area: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by neighbourhood and place, without rows that repeat another (a repeated document); which are copies."""
     order = np.lexsort((place, doc, area, key))
-    k, a = key[order], area[order]
-    again = np.concatenate([[False], (k[1:] == k[:-1]) & (a[1:] == a[:-1])])
-    return order, again
+    k, a, d, p = key[order], area[order], doc[order], place[order]
+    same = (k[1:] == k[:-1]) & (a[1:] == a[:-1])
+    new = np.concatenate([[True], ~(same & (d[1:] == d[:-1]) & (p[1:] == p[:-1]))])
+    return order[new], np.concatenate([[False], same])[new]
 
 
 def trigger_rows(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
@@ -112,7 +114,7 @@ def trigger_rows(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFram
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = utf8(batch.column(1))
-        ids = batch.column(0).to_numpy()
+        ids = batch.column(0).to_numpy().astype(np.int64)
         found = []
         for i, j in chunks(offsets, CHUNK):
             doc, place, h, area = triggers(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shape)
@@ -179,15 +181,18 @@ def _ranges(flags: np.ndarray, doc: np.ndarray, place: np.ndarray, shape: Shape)
 
 
 def _squeezed(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Texts as zstandard frames, which halves what a shuffle of them moves; ``carry``: columns to go along."""
+    """Texts as zstandard frames, which halves what a shuffle of them moves; the columns ``carry`` go along as
+    one struct, so their names can't clash."""
+    rows = docs.select(key, text, *([F.struct(*carry).alias("carried")] if carry else []))
+    names = [key, "blob", *rows.columns[2:]]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=1)
         data, offsets = utf8(batch.column(1))
         blobs = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], [key, "blob", *carry])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], names)
 
-    return arrow_map(docs.select(key, text, *carry), each, _columns(docs, key) + ", blob binary" + _columns(docs, *carry, lead=", "))
+    return arrow_map(rows, each, _columns(rows, key) + ", blob binary" + _columns(rows, *rows.columns[2:], lead=", "))
 
 
 def _columns(df: DataFrame, *names: str, lead: str = "") -> str:
@@ -200,7 +205,7 @@ def _text(blob: bytes) -> bytes:
 
 def neighbourhoods(blobs: DataFrame, wanted: DataFrame, shape: Shape, key: str) -> DataFrame:
     """``trigger, doc, place, low, high, bytes`` for the wanted ``trigger, doc, place``."""
-    by_doc = wanted.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("trigger", "place")).alias("at"))
+    by_doc = wanted.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("trigger", "place")).alias("at"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -210,6 +215,8 @@ def neighbourhoods(blobs: DataFrame, wanted: DataFrame, shape: Shape, key: str)
             wide[shape.whole : shape.whole + len(raw)] = raw
             trigger, place = (at.values.field(i).to_numpy() for i in (0, 1))
             place = place.astype(np.int64)
+            inside = place + shape.trigger <= len(raw)  # else the key is another row's too
+            trigger, place = trigger[inside], place[inside]
             areas = wide[(place + shape.whole - shape.reach)[:, None] + np.arange(shape.whole)]
             low = np.maximum(0, place + shape.length - len(raw))
             high = np.minimum(shape.reach, place)
@@ -241,8 +248,11 @@ def ranked_ranges(areas: DataFrame, shape: Shape) -> DataFrame:
                 return None
             t, doc, place, low, high = (table.column(i).to_numpy() for i in range(5))
             data, _ = utf8(table.column(5))
+            data = data.reshape(len(t), shape.whole)
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
+            t, doc, place, low, high, data = (x[new] for x in (t, doc, place, low, high, data))  # repeated documents
             group = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))
-            flags = repeated(group, data.reshape(len(t), shape.whole), low, high, shape)
+            flags = repeated(group, data, low, high, shape)
             d, a, b = _ranges(flags, doc, place.astype(np.int64), shape)
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "start", "stop"]) if len(d) else None
 
@@ -321,7 +331,7 @@ def merged(starts: np.ndarray, stops: np.ndarray, size: int) -> list[tuple[int,
 
 def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per row: ``key, n_bytes, n_removed, n_spans, kept_sha256``, then ``kept_text`` if asked for, then the
-    columns of ``docs`` named in ``carry``.
+    columns of ``docs`` named in ``carry`` as a struct ``carried``.
 
     Strings are judged on the input, not on what is left. Null and empty texts have 0 bytes; texts shorter
     than ``length`` lose nothing. A row with a null key has no place in the order: it keeps all and removes
@@ -332,6 +342,7 @@ def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (),
     ranges = repeated_ranges(docs, key=key, text=text, **options)
     by_doc = ranges.groupBy(F.col("doc").alias(key)).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     blobs = _squeezed(docs, key, text, carry)
+    carried = blobs.columns[2:]
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -347,7 +358,7 @@ def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (),
             rows.append((len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)][: len(results)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[4:]], [key, *results, *carry])
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[4:]], [key, *results, *carried])
 
-    schema = _columns(docs, key) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + _columns(docs, *carry, lead=", ")
-    return arrow_map(blobs.join(by_doc, key, "left").select(key, "blob", "starts", "stops", *carry), each, schema)
+    schema = _columns(docs, key) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + _columns(blobs, *carried, lead=", ")
+    return arrow_map(blobs.join(by_doc, key, "left").select(key, "blob", "starts", "stops", *carried), each, schema)

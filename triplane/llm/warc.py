@@ -121,8 +121,8 @@ FIELDS = "kind string, id string, origin string, segment int, total long, digest
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the archives. The text between two CRLF CRLF is a header or (part of) a block; a block
-    goes on until it has its Content-Length, so blocks may hold any bytes. Files are read in order, not split."""
+    """The records of the archives. Spark hands a file's text over in pieces, in order and not split; put together
+    again, a header ends at CRLF CRLF and a block at its Content-Length, so blocks may hold any bytes."""
     pieces = spark.read.option("lineSep", END).text(folder).select(F.col("value").cast("binary").alias("piece"), F.input_file_name().alias("file"))
 
     def parsed(head: bytes) -> dict[str, str]:
@@ -140,30 +140,37 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     kinds = pa.schema([("kind", pa.string()), ("id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", pa.string()), ("block", pa.binary())])
 
+    end = END.encode()
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, head, parts, size, out, held = None, None, [], 0, [], 0
+        file, head, text, out, held = None, None, bytearray(), [], 0
         for batch in batches:
             for piece, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if now != file:
-                    if head is not None:
-                        raise ValueError(f"{file} ends inside a record")
-                    file = now
-                if head is None:
-                    if piece:
-                        head, parts, size = parsed(piece), [], -len(END)
-                    continue
-                parts.append(piece)
-                size += len(END) + len(piece)
-                if size < int(head["content-length"]):
-                    continue
-                if size > int(head["content-length"]):
-                    raise ValueError(f"a record in {file} is longer than its Content-Length")
-                out.append(row(head, END.encode().join(parts)))
-                head, held = None, held + size
+                if now != file and (head is not None or text.strip()):
+                    raise ValueError(f"{file} ends inside a record")
+                file = now
+                text += piece + end
+                while True:
+                    if head is None:
+                        at = text.find(end)
+                        if at < 0:
+                            break
+                        if at:
+                            head = parsed(bytes(text[:at]))
+                        del text[: at + len(end)]
+                        continue
+                    n = int(head["content-length"])
+                    if len(text) < n + len(end):
+                        break
+                    if text[n : n + len(end)] != end:
+                        raise ValueError(f"a record in {file} doesn't end with its Content-Length")
+                    out.append(row(head, bytes(text[:n])))
+                    del text[: n + len(end)]
+                    head, held = None, held + n
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pylist(out, kinds)
                     out, held = [], 0
-        if head is not None:
+        if head is not None or text.strip():
             raise ValueError(f"{file} ends inside a record")
         if out:
             yield pa.RecordBatch.from_pylist(out, kinds)
