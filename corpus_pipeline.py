@@ -24,16 +24,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The document with the least id of each group of near copies: five-word shingles, Jaccard 0.8."""
     found = ngram_join.jaccard_components(docs, num=80, den=100, k=5)
     others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier in the corpus; n_chars follows the text."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    done = substring_dedup.dedup(docs, with_text=True, carry=carry).withColumnRenamed("kept_text", "text")
-    if "n_chars" in carry:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = substring_dedup.dedup(docs, with_text=True, carry=tuple(c for c in docs.columns if c != "text"))
+    text = F.col("kept_text")
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"carried.`{c}`") for c in docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
