@@ -182,8 +182,19 @@ def _loop(out: Result, rules: Sequence[Rule], max_passes: int) -> None:
     made. Every delta is cut by checkpoint; the facts so far are folded into one checkpoint as they grow."""
     start = out.graph
     heads = {t.p for r in rules for t in r.head}
-    if any(is_variable(p) for p in heads):
-        raise RuleError("a recursive rule has a constant predicate in its head")
+    if any(is_variable(p) for p in heads):  # what they make isn't known beforehand: every pass reads everything
+        for _ in range(max_passes):
+            out.passes += 1
+            before = dict(out.made)
+            made = _evaluate(out.graph, rules)
+            fresh = {p: _new(v, out.graph.view(p)) for p, v in made.items()}
+            fresh = {p: replace(v, rows=cut(v.rows)) for p, v in fresh.items()}
+            fresh = {p: v for p, v in fresh.items() if v.rows.limit(1).count()}
+            if not fresh:
+                out.made = before
+                return
+            _add(out, fresh)
+        raise RuleError(f"a recursive stratum did not settle in {max_passes} passes")
     first = _evaluate(start, rules)
     delta = {p: replace(v, rows=cut(v.rows)) for p, v in ((p, _new(v, start.view(p) if p in start.predicates else None)) for p, v in first.items())}
     made = dict(delta)

@@ -7,6 +7,7 @@ tables need no such text: they stay native until they meet a term.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +64,9 @@ def _plain(text: str) -> str:
     return sign + ("0." + "0" * -point + joined if point <= 0 else joined.ljust(point, "0") + ("." + joined[point:] if joined[point:] else ""))
 
 
-@F.udf("string")
-def _number_text(x: float | None) -> str | None:
-    return None if x is None else number_text(x)
+@F.arrow_udf(T.StringType())
+def _number_text(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else number_text(x) for x in column.to_pylist()], pa.string())
 
 
 def number_term(x: Column) -> Column:
