@@ -90,7 +90,10 @@ def test_jaccard_sizes():
                 continue
             pool = rng.integers(1, 2**63, n + m, dtype=np.uint64)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:need], pool[n : n + m - need]]))
-            assert set(ngram_join.heavy_keys(t, a).tolist()) & set(ngram_join.heavy_keys(t, b).tolist())
+            common = min(t.common(n), t.common(m))
+            first = [set(x[: t.prefix(len(x), t.common(len(x)))].tolist()) for x in (a, b)]
+            assert len(first[0] & first[1]) >= common >= max(t.needed(n), 1) * (n == m)
+            assert len(first[0] & first[1]) >= max(t.needed(n), t.needed(m))
             if n <= 30:
                 keys = [{k for ks, _, _ in ngram_join.light_keys(t, x, 64) for k in ks.tolist()} for x in (a, b)]
                 assert keys[0] & keys[1]

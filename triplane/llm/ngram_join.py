@@ -5,10 +5,11 @@ split by set size at a boundary that the cost of both over the size histogram de
 
 * light sets enumerate the subsets of the size that a link needs. Sets that share such a subset are linked,
   so a bucket's members join its least node and nothing is compared;
-* heavy sets go to inverted lists of parts: shingles are dealt by hash into one part more than a linked
-  pair can differ in, so linked sets agree on a part as a whole. A list joins its members to its least node;
-  the clusters this makes hold every possible link. In a cluster the inverted lists of single shingles are
-  scanned, in block pairs of bounded size, and only a spanning forest of the links leaves a task.
+* heavy sets are found by inverted lists. The first shingles by hash of linked sets have several in common, so a
+  set stays only if that many of its own occur in another set's. Of what stays (near copies, mostly) the
+  inverted lists of the rarest shingles, enough that linked sets meet in one, join each list's members to
+  its least node; the clusters this makes hold every possible link. In a cluster the inverted lists of all
+  shingles are scanned, in block pairs of bounded size, and only a spanning forest of the links leaves a task.
 
 No step lists the pairs of a group, and nothing is capped.
 """
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, mix, shingles, signed, utf8
 from .components import connected_components
 
-LEVELS = 3
-
 
 class Threshold:
     """Sizes and overlaps for Jaccard >= num/den."""
@@ -46,29 +45,28 @@ class Threshold:
     def partners(self, n: int) -> range:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    @functools.cached_property
-    def starts(self) -> np.ndarray:
-        """First sizes of the size classes; linked sets are in the same class or in neighbours."""
-        out = [1]
-        while out[-1] < 2**40:
-            out.append(self.den * out[-1] // self.num + 1)
-        return np.array(out)
+    def common(self, n: int) -> int:
+        """Shingles that the prefix of n is made to have in common with a linked set's prefix."""
+        return max(1, int((0.05 + 0.5 * (1 - self.num / self.den)) * n))
+
+    def needed(self, n: int) -> int:
+        """The same if the linked set is the smallest there can be."""
+        return min(self.common(n), self.common(self.partners(n)[0]))
 
-    def parts(self, pair: int) -> int:
-        """Parts for sets of the classes pair-1 and pair: one more than linked sets can differ in."""
-        top = int(self.starts[pair + 1]) - 1
-        return (self.den - self.num) * 2 * top // (self.den + self.num) + 1
+    def prefix(self, n: int, common: int = 1) -> int:
+        """Length of the first part, in any order that all sets share, that has ``common`` shingles in common
+        with the like part of any linked set (of one size or another)."""
+        return min(n, n - -(-self.num * n // self.den) + common)
 
     def light_rows(self, n: int) -> int:
         return sum(comb(n, n - self.overlap(n, m)) for m in self.partners(n) if self.overlap(n, m) <= min(n, m))
 
     def heavy_rows(self, n: int) -> int:
-        k = int(np.searchsorted(self.starts, n, side="right")) - 1
-        return self.parts(k) + self.parts(k + 1)
+        return self.prefix(n, self.common(n))
 
 
 def boundary(t: Threshold, histogram: dict[int, int], scan_weight: float = 0.5, most: int = 64) -> int:
-    """Greatest light size at the least cost. A light set costs its subsets; a heavy one its part rows and,
+    """Greatest light size at the least cost. A light set costs its subsets; a heavy one its prefix rows and,
     for shipping and scanning, ``scan_weight`` for each member. Sizes with partners on both sides pay both."""
     few = {n: c for n, c in histogram.items() if 0 < n <= 2 * most}
 
@@ -101,26 +99,6 @@ def light_keys(t: Threshold, members: np.ndarray, light: int) -> list[tuple[np.n
     return out
 
 
-def heavy_keys(t: Threshold, members: np.ndarray) -> np.ndarray:
-    """Keys of the parts. A set with an empty part is dealt anew on a further level, where its partner that
-    lacks the same part is too; on the last level empty parts count."""
-    k, out = int(np.searchsorted(t.starts, len(members), side="right")) - 1, []
-    for pair in (k, k + 1):
-        parts = t.parts(pair)
-        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(U64)
-        for level in range(LEVELS):
-            dealt = np.sort(mix(members ^ MULTIPLIERS[43 + level]))
-            sums = np.concatenate([np.zeros(1, U64), np.add.accumulate(mix(dealt + MULTIPLIERS[47]))])
-            at = np.concatenate([[0], np.searchsorted(dealt, edges), [len(dealt)]])
-            full = np.diff(at) > 0
-            place = np.arange(parts, dtype=U64)
-            keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(place + U64(pair << 24) + U64(level << 56)))
-            out.append(keys if level == LEVELS - 1 else keys[full])
-            if full.all():
-                break
-    return np.concatenate(out)
-
-
 def set_node(members: np.ndarray) -> int:
     """64-bit identity of a set."""
     terms = np.concatenate([mix(members ^ MULTIPLIERS[50]), np.array([len(members)], U64) * MULTIPLIERS[51:52]])
@@ -144,29 +122,24 @@ def document_sets(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     return arrow_map(docs.select(key, text), each, f"{key} {kind}, n_shingles long, node long")
 
 
-ROLE_HEAVY, ROLE_EQUAL, ROLE_SMALL, ROLE_LARGE = 0, 1, 2, 3
+ROLE_EQUAL, ROLE_SMALL, ROLE_LARGE = 0, 1, 2
 
 
-def bucket_rows(docs: DataFrame, t: Threshold, light: int, k: int, text: str) -> DataFrame:
-    """``sig, node, role, leader``: the buckets a set is in. Members of one bucket in one batch, sizes equal
-    or heavy, join the first of them at once (leader), so a hot bucket sends a row for each batch."""
+def light_edges(docs: DataFrame, t: Threshold, light: int, k: int, text: str) -> DataFrame:
+    """``a, b``: links of light sets, each bucket's members joined to its least node, or to the least of the other
+    size. A window over the bucket (a sort that spills) finds the least nodes; of sets of one size in a
+    bucket, a batch sends the first and joins the others to it at once, so a hot bucket stays small."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         sigs, nodes, roles, seen = [], [], [], set()
         for s in _sets(batch.column(0), k):
-            if not len(s) or (node := set_node(s)) in seen:
+            if not 0 < len(s) <= light or (node := set_node(s)) in seen:
                 continue
             seen.add(node)
-            if len(s) <= light:
-                for keys, small, differ in light_keys(t, s, light):
-                    sigs.append(keys)
-                    nodes.append(np.full(len(keys), node))
-                    roles.append(np.full(len(keys), (ROLE_SMALL if small else ROLE_LARGE) if differ else ROLE_EQUAL, np.int8))
-            if t.partners(len(s))[-1] > light:
-                keys = heavy_keys(t, s)
+            for keys, small, differ in light_keys(t, s, light):
                 sigs.append(keys)
                 nodes.append(np.full(len(keys), node))
-                roles.append(np.full(len(keys), ROLE_HEAVY, np.int8))
+                roles.append(np.full(len(keys), (ROLE_SMALL if small else ROLE_LARGE) if differ else ROLE_EQUAL, np.int8))
         if not sigs:
             return None
         sig, node, role = signed(np.concatenate(sigs)), np.concatenate(nodes), np.concatenate(roles)
@@ -174,25 +147,81 @@ def bucket_rows(docs: DataFrame, t: Threshold, light: int, k: int, text: str) ->
         sig, node, role = sig[order], node[order], role[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
         head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        joined = ~first & (role <= ROLE_EQUAL)
-        leader = pa.array(node[head], mask=~joined)
-        return pa.RecordBatch.from_arrays([pa.array(np.where(joined, node, sig)), pa.array(node), pa.array(role), leader], ["sig", "node", "role", "leader"])
-
-    return arrow_map(docs.select(text), each, "sig long, node long, role byte, leader long")
+        joined = ~first & (role == ROLE_EQUAL)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(joined, node, sig)), pa.array(node), pa.array(role), pa.array(node[head], mask=~joined)], ["sig", "node", "role", "leader"])
 
-
-def star_edges(rows: DataFrame) -> DataFrame:
-    """``a, b, exact``: every bucket joins its members to its least node, or to the least of the other size.
-
-    A window over the bucket (a sort that spills) finds the least nodes; hot buckets arrive as one row
-    for each batch, see bucket_rows. ``exact``: the bucket proves the link."""
+    rows = arrow_map(docs.select(text), each, "sig long, node long, role byte, leader long")
     bucket = W.partitionBy("sig")
     least = lambda when: F.min(F.when(when & F.col("leader").isNull(), F.col("node"))).over(bucket)
     role = F.col("role")
-    seen = rows.withColumns({"low": least(role <= ROLE_EQUAL), "small": least(role == ROLE_SMALL), "large": least(role == ROLE_LARGE)})
-    to = F.when(F.col("leader").isNotNull(), F.col("leader")).when(role <= ROLE_EQUAL, F.col("low")).when(role == ROLE_SMALL, F.col("large")).otherwise(F.col("small"))
-    out = seen.select(F.col("node").alias("a"), to.alias("b"), (role != ROLE_HEAVY).alias("exact"))
-    return out.where("b IS NOT NULL AND a <> b").distinct()
+    seen = rows.withColumns({"low": least(role == ROLE_EQUAL), "small": least(role == ROLE_SMALL), "large": least(role == ROLE_LARGE)})
+    to = F.when(F.col("leader").isNotNull(), F.col("leader")).when(role == ROLE_EQUAL, F.col("low")).when(role == ROLE_SMALL, F.col("large")).otherwise(F.col("small"))
+    return seen.select(F.col("node").alias("a"), to.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
+
+
+OPEN, KNOWN = -1, -2
+
+
+def survivors(docs: DataFrame, t: Threshold, light: int, k: int, text: str) -> DataFrame:
+    """``node``: heavy sets that have as many prefix shingles in other sets' prefixes as a link needs.
+
+    A batch settles what it can: a shingle of two of its sets is shared, goes out once (KNOWN) for the sake of
+    other batches, and its sets get a count row instead (``extra``, under a key of its own)."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sigs, nodes, wants, seen = [], [], [], set()
+        for s in _sets(batch.column(0), k):
+            n = len(s)
+            if not n or t.partners(n)[-1] <= light or (node := set_node(s)) in seen:
+                continue
+            seen.add(node)
+            own = s[: t.prefix(n, t.common(n))]  # sets are in order of their hashes
+            sigs.append(own)
+            nodes.append(np.full(len(own), node))
+            wants.append((node, t.needed(n)))
+        if not sigs:
+            return None
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        first = np.concatenate([[True], ~same])
+        names, counts = np.unique(node[shared], return_counts=True)
+        found = dict(zip(names.tolist(), counts.tolist(), strict=True))
+        # what a set still needs, as a row of its own: the sum over all its rows then has to be 0 or less
+        own = np.array([x for x, _ in wants])
+        still = np.array([max(0, need - found.get(x, 0)) for x, need in wants])
+        extra = np.where(shared[first], KNOWN, OPEN)
+        key = mix(own.view(U64) ^ MULTIPLIERS[52])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(np.concatenate([sig[first], key]))), pa.array(np.concatenate([node[first], own])), pa.array(np.concatenate([extra, still]).astype(np.int32))], ["sig", "node", "extra"]
+        )
+
+    rows = arrow_map(docs.select(text), each, "sig long, node long, extra int")
+    of_sig = W.partitionBy("sig")
+    seen = rows.withColumns({"low": F.min("node").over(of_sig), "high": F.max("node").over(of_sig), "known": F.min("extra").over(of_sig)})
+    hit = (F.col("extra") == OPEN) & ((F.col("low") != F.col("high")) | (F.col("known") == KNOWN))
+    # the same set in several batches needs the most that any of its rows lacks at most; the least will do
+    counted = seen.where(hit | (F.col("extra") >= 0)).groupBy("node").agg(F.countDistinct(F.when(hit, F.col("sig"))).alias("hits"), F.min(F.when(F.col("extra") >= 0, F.col("extra"))).alias("still"))
+    return counted.where("hits >= still").select("node")
+
+
+def rare_edges(sets: DataFrame, t: Threshold) -> DataFrame:
+    """``a, b``: lists of each set's rarest shingles, as many as a link can't avoid, join members to their least node."""
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = utf8(batch.column(1))
+        size = np.diff(offsets) // 8
+        keep = np.array([t.prefix(n) for n in size.tolist()], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(keep, size).astype(np.int32))], ["sig", "node", "keep"])
+
+    rows = arrow_map(sets.select("node", "members"), explode, "sig long, node long, keep int")
+    df = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = W.partitionBy("node").orderBy("df", "sig")
+    prefix = rows.join(df, "sig").withColumn("rank", F.row_number().over(by_rarity)).where("rank <= keep AND df > 1").select("sig", "node")
+    least = prefix.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low")
+    return prefix.join(least, "sig").select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
@@ -225,29 +254,35 @@ def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray]
     return links
 
 
-def verified_links(docs: DataFrame, members: DataFrame, t: Threshold, k: int, key: str, text: str, block_sets: int, block_shingles: int) -> DataFrame:
-    """``members(key, node, n_shingles, cluster)`` -> ``a, b``: a spanning forest of the true links.
-
-    A cluster is dealt into blocks of bounded size and every pair of blocks is one group."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(key, text).join(dealt.select(key, "node", "cluster", "blocks", "block"), key)
+def node_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """``node, n_shingles, members`` (8 bytes a shingle) for ``wanted(key, node)``."""
+    texts = docs.select(key, text).join(wanted.select(key, "node"), key)
 
     def with_set(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes = batch.column(1).to_pylist()
-        # a row whose key is another row's too has another set: only the node's own set counts
+        # a row whose key is another row's too may have another set: only the node's own set counts
         found = [s.tobytes() if len(s) and set_node(s) == n else None for s, n in zip(_sets(batch.column(0), k), nodes, strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], ["node", "cluster", "blocks", "block", "members"])
+        size = pa.array([len(x) // 8 if x else 0 for x in found], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(1), size, pa.array(found, pa.binary())], ["node", "n_shingles", "members"])
+
+    sets = arrow_map(texts.select(text, "node"), with_set, "node long, n_shingles long, members binary")
+    return sets.where("members IS NOT NULL").dropDuplicates(["node"])
 
-    sets = arrow_map(texts.select(text, "node", "cluster", "blocks", "block"), with_set, "node long, cluster long, blocks int, block int, members binary")
-    sets = sets.where("members IS NOT NULL")
+
+def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_sets: int, block_shingles: int) -> DataFrame:
+    """``sets(node, n_shingles, members)``, ``clusters(node, cluster)`` -> ``a, b``: a spanning forest of the links.
+
+    A cluster is dealt into blocks of bounded size and every pair of blocks is one group."""
+    members = sets.join(clusters, "node")
+    sizes = sets.select("node", "n_shingles").join(clusters, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
+    sets = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     grid = sets.select("node", "cluster", "block", "members", other)
     grid = grid.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node")
+        group = group.sort_values("node")
         own = [np.frombuffer(x, U64) for x in group["members"]]
         nodes = group["node"].to_numpy()
         i, j = group["i"].iat[0], group["j"].iat[0]
@@ -279,14 +314,14 @@ def jaccard_components(
     if light is None:
         histogram = {r.n_shingles: r["count"] for r in base.where("n_shingles BETWEEN 1 AND 128").groupBy("n_shingles").count().collect()}
         light = boundary(t, histogram)
-    rows = bucket_rows(docs, t, light, k, text)
-    edges = cut(star_edges(rows))
-    candidates = edges.where("NOT exact").select("a", "b")
-    clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
     owners = base.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias(key), F.max("n_shingles").alias("n_shingles"))
-    members = owners.where(F.col(key).isNotNull()).join(clusters, "node")
-    found = verified_links(docs, members, t, k, key, text, block_sets, block_shingles)
-    links = cut(found.union(edges.where("exact").select("a", "b")))
+    found = light_edges(docs, t, light, k, text) if light else None
+    heavy = cut(survivors(docs, t, light, k, text))
+    wanted = owners.where(F.col(key).isNotNull()).join(heavy, "node")
+    sets = cut(node_sets(docs, wanted, k, key, text))
+    clusters = connected_components(cut(rare_edges(sets, t))).select("node", F.col("component").alias("cluster"))
+    links = verified_links(sets, clusters, t, block_sets, block_shingles)
+    links = cut(links.union(found) if found is not None else links)
     joined = connected_components(links)
     least = owners.select("node", F.col(key).alias("_least")).join(joined, "node").groupBy("component").agg(F.min("_least").alias("component_id"))
     of_node = owners.select("node", F.col(key).alias("_own")).join(joined, "node", "left").join(least, "component", "left")
