@@ -6,6 +6,7 @@ identified by 64-bit hashes with fixed constants, so every task and every run ag
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import uuid
@@ -157,7 +158,54 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, as its result is kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends in the shared folder, so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made here: the setting is read when one is made
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same cut for a large table: written as compressed Parquet to the shared folder (a checkpoint isn't
+    compressed). The cluster's cleaner of that folder removes it; nothing here knows when its last reader is done."""
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nonnegative numbers in 7-bit groups, low group first, high bit set on all but the last: (bytes, length of each)."""
+    values = values.astype(U64)
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >= U64(1) << U64(7 * k)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max()) if len(size) else 0):
+        has = size > k
+        group = (values[has] >> U64(7 * k)) & U64(127)
+        out[at[has] + k] = group.astype(np.uint8) | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
+    return out, size
+
+
+def from_varints(data: np.ndarray) -> np.ndarray:
+    last = data < 128
+    end = np.flatnonzero(last)
+    if not len(end):
+        return np.zeros(0, np.int64)
+    start = np.concatenate([[0], end[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(start, end - start + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, mix, shingles, signed, utf8
+from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, mix, shingles, signed, stored, utf8
 from .components import connected_components
 
 
@@ -208,20 +208,20 @@ def survivors(docs: DataFrame, t: Threshold, light: int, k: int, text: str) -> D
 
 
 def rare_edges(sets: DataFrame, t: Threshold) -> DataFrame:
-    """``a, b``: lists of each set's rarest shingles, as many as a link can't avoid, join members to their least node."""
+    """``a, b``: lists of each set's rarest shingles, as many as a link can't avoid, join members to the list's least
+    node. A shingle of one set alone is the rarest there is: it only takes up room in its set's prefix."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(batch.column(1))
         size = np.diff(offsets) // 8
-        keep = np.array([t.prefix(n) for n in size.tolist()], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(keep, size).astype(np.int32))], ["sig", "node", "keep"])
+        room = np.array([t.prefix(n) - n for n in size.tolist()], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(room, size).astype(np.int32))], ["sig", "node", "room"])
 
-    rows = arrow_map(sets.select("node", "members"), explode, "sig long, node long, keep int")
-    df = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = W.partitionBy("node").orderBy("df", "sig")
-    prefix = rows.join(df, "sig").withColumn("rank", F.row_number().over(by_rarity)).where("rank <= keep AND df > 1").select("sig", "node")
-    least = prefix.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low")
-    return prefix.join(least, "sig").select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    rows = arrow_map(sets.select("node", "members"), explode, "sig long, node long, room int")
+    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("low")).where("df > 1")
+    of_node = W.partitionBy("node")
+    ranked = rows.join(lists, "sig").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "sig")), "shared": F.count(F.lit(1)).over(of_node)})
+    return ranked.where("rank <= room + shared AND node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
@@ -318,7 +318,7 @@ def jaccard_components(
     found = light_edges(docs, t, light, k, text) if light else None
     heavy = cut(survivors(docs, t, light, k, text))
     wanted = owners.where(F.col(key).isNotNull()).join(heavy, "node")
-    sets = cut(node_sets(docs, wanted, k, key, text))
+    sets = stored(node_sets(docs, wanted, k, key, text))
     clusters = connected_components(cut(rare_edges(sets, t))).select("node", F.col("component").alias("cluster"))
     links = verified_links(sets, clusters, t, block_sets, block_shingles)
     links = cut(links.union(found) if found is not None else links)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, MULTIPLIERS, U64, arrow_map, chunks, cut, mix, powers, utf8
+from .common import BYTE_CODE, MULTIPLIERS, U64, arrow_map, chunks, mix, powers, stored, utf8
 
 CHUNK = 1 << 20
 
@@ -307,7 +307,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100, trigger: int = 32, max_g
     })
     first = F.col("first") == F.struct("doc", "place")
     seen = seen.withColumn("copy", F.col("again") | ~first).where("copy OR low <> high")
-    seen = cut(seen.select(F.when(~F.col("copy"), F.col("trigger")).alias("trigger"), "doc", "place", "copy", (F.col("n") > max_group).alias("hot")))
+    seen = stored(seen.select(F.when(~F.col("copy"), F.col("trigger")).alias("trigger"), "doc", "place", "copy", (F.col("n") > max_group).alias("hot")))
     copies = seen.where("copy").select("doc", F.greatest(F.col("place") - shape.reach, F.lit(0)).alias("start"), (F.col("place") + length).alias("stop"))
     wanted, blobs = seen.where("NOT copy"), _squeezed(docs, key, text)
     areas = neighbourhoods(blobs, wanted.where("NOT hot").select("trigger", "doc", "place"), shape, key)
