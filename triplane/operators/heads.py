@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..rules import Pattern, is_variable, name
-from ..sources.graph import Graph, View, constant
+from ..sources.graph import Graph, View, as_term, constant
 from .body import Solutions
 
 
@@ -40,6 +40,4 @@ def loose_triples(template: Pattern, found: Solutions, graph: Graph) -> DataFram
     types = {f.name: f.dataType for f in picked.schema.fields}
     if not isinstance(types["p"], T.StringType):
         return None
-    from ..sources.graph import as_term
-
     return picked.select(as_term(F.col("s"), s[1], types["s"]).alias("s"), F.expr("substring(p, 2, length(p) - 2)").alias("p"), as_term(F.col("o"), o[1], types["o"]).alias("o")).distinct()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..operators.body import Solutions, select, solve
 from ..operators.heads import head_view, loose_triples
-from ..rules import Not, Path, Pattern, Rule, Transitive, is_variable, name
+from ..rules import Not, Path, Pattern, Rule, Transitive, is_variable
 from ..sources.graph import Graph, View, together
-from .strata import dependencies, findings, may_feed, strata
+from .strata import Edge, components, dependencies, findings, may_feed, reads, strata
 
 
 class RuleError(ValueError):
@@ -129,8 +129,6 @@ def run(graph: Graph, rules: Sequence[Rule | Transitive], max_passes: int = 10_0
 
 def _ordered(rules: list[int], edges: list) -> list[list[int]]:
     """Components in the order of their needs; components without needs among each other run together."""
-    from .strata import Edge, components
-
     place = {r: k for k, r in enumerate(rules)}
     of = components(len(rules), [Edge(place[e.user], place[e.maker], "", False) for e in edges])
     level = [0] * len(rules)
@@ -213,7 +211,7 @@ def _loop(out: Result, rules: Sequence[Rule], max_passes: int) -> None:
                     one = lambda k, p, i=i: live[p] if k == i else None
                     for p, v in _evaluate(now, [r], one).items():
                         parts.setdefault(p, []).append(v)
-                elif not isinstance(x, Pattern) and any(q.p in live for q, neg in _reads(x) if not neg):
+                elif not isinstance(x, Pattern) and any(q.p in live for q, neg in reads([x]) if not neg):
                     for p, v in _evaluate(now, [r]).items():
                         parts.setdefault(p, []).append(v)
                 elif isinstance(x, Pattern) and is_variable(x.p):
@@ -232,10 +230,4 @@ def _loop(out: Result, rules: Sequence[Rule], max_passes: int) -> None:
         out.made[p] = together([out.made[p], v]) if p in out.made else v
 
 
-def _reads(x: object):
-    from .strata import reads
-
-    return reads([x])
-
-
-__all__ = ["Result", "RuleError", "cut", "name", "run", "transitive_closure"]
+__all__ = ["Result", "RuleError", "cut", "run", "transitive_closure"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -173,8 +174,6 @@ def list_facts(head: str, items: Sequence[object]) -> list[tuple]:
 
 def reified(reifier: str, s: str, p: str, o: object, **about: object) -> list[tuple]:
     """A reifier of a triple that isn't itself stated, with facts about it."""
-    import json
-
     triple = json.dumps([constant(s), terms.iri(p), constant(o)], separators=(",", ":"), ensure_ascii=False)
     return [(reifier, terms.REIFIES, triple), *((reifier, p2, x) for p2, x in about.items())]
 
