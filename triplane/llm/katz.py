@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, utf8
+from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, from_varints, packed, stored, unpacked, utf8, varints
 
 K = 5
 ADD = 0.1
@@ -46,16 +47,25 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame, train: Column, units: int, key: str, text: str) -> DataFrame:
-    """``unit, key, train, blob``: texts as zstandard frames."""
+    """``unit, keys, train, sizes, blob``: the documents of a unit in a batch, texts end to end as one zstandard frame."""
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("unit"), key, F.coalesce(train, F.lit(False)).alias("train"), text)
+    kind = docs.schema[key].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
-        data, offsets = utf8(batch.column(3))
-        blobs = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], ["unit", key, "train", "blob"])
+        unit = batch.column(0).to_numpy()
+        out = []
+        for u in np.unique(unit).tolist():
+            own = batch.filter(pa.array(unit == u))
+            data, offsets = utf8(own.column(3))
+            out.append((u, own.column(1), own.column(2), np.diff(offsets), press.compress(data.tobytes())))
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.concat_arrays(parts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int32()), lists([x[1] for x in out]), lists([x[2] for x in out]), lists([pa.array(x[3]) for x in out]), pa.array([x[4] for x in out], pa.binary())],
+            ["unit", "keys", "train", "sizes", "blob"],
+        )
 
-    return arrow_map(rows, each, f"unit int, `{key}` {docs.schema[key].dataType.simpleString()}, train boolean, blob binary")
+    return arrow_map(rows, each, f"unit int, keys array<{kind}>, train array<boolean>, sizes array<long>, blob binary")
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,12 +79,12 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Tokens:
     """The (history, token) places of a unit's documents, and its distinct pairs in order (history, share, token)."""
 
-    def __init__(self, table: pa.Table, key: str) -> None:
+    def __init__(self, table: pa.Table) -> None:
         table = table.combine_chunks()
-        self.keys = table.column(key)
-        train = table.column("train").to_numpy()
+        self.keys, train, sizes = (pc.list_flatten(table.column(c)) for c in ("keys", "train", "sizes"))
+        train = train.to_numpy()
         raw = [zstandard.ZstdDecompressor().decompress(x) for x in table.column("blob").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
         h, n = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
         self.n = n + 1
         self.at = np.concatenate([[0], np.cumsum(self.n)])
@@ -100,56 +110,61 @@ class Tokens:
         self.h, self.share, self.w = h[self.start], s[self.start], w[self.start]
 
 
-def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Runs of 8-byte numbers as one binary each."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
+def _runs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of bytes as binaries."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _numbers(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = utf8(column)
-    return np.frombuffer(data.tobytes(), dtype), offsets // 8
+def _varint_runs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of numbers as varints."""
+    data, size = varints(values)
+    return _runs(data, np.concatenate([[0], np.cumsum(size)])[at])
 
 
-REQUEST = "h long, share int, unit int, w binary, n binary, c binary"
+#: Followers of a share are told apart by 6 bytes of their hash (a share has some 50,000 occurrences).
+SHORT = 6
+REQUEST = "h long, share int, unit int, w binary, counts binary"
 STATS = K + 3  # types seen 1..K times, types, tokens of types seen more often, sum of the followers' counts
 ANSWER = "unit int, h long, share int, r binary, stats binary, hist array<long>"
 
 
-def requests(units: DataFrame, vocabulary: DataFrame, ends: int, key: str) -> DataFrame:
+def _vocabulary(words: pa.Table, ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a unit in order with their training counts; the beginning and the end are among them."""
+    word = [np.cumsum(unpacked(x, U64), dtype=U64) for x in words.column("words").to_pylist()]
+    count = [unpacked(x, np.int64) for x in words.column("counts").to_pylist()]
+    word, place = np.unique(np.concatenate([*word, np.array([BEGIN, END], U64)]), return_index=True)
+    return word, np.concatenate([*count, np.array([ends, ends])])[place]
+
+
+def requests(units: DataFrame, vocabulary: DataFrame, ends: int) -> DataFrame:
     """A row for each history (and share of its followers) of a unit: followers, training counts, follower counts."""
 
     def ask(documents: pa.Table, words: pa.Table) -> pa.Table:
-        empty = pa.table({k: pa.array([], t) for k, t in (("h", pa.int64()), ("share", pa.int32()), ("unit", pa.int32()), ("w", pa.binary()), ("n", pa.binary()), ("c", pa.binary()))})
+        kinds = (("h", pa.int64()), ("share", pa.int32()), ("unit", pa.int32()), ("w", pa.binary()), ("counts", pa.binary()))
         if not documents.num_rows:
-            return empty
-        t = Tokens(documents, key)
-        word, count = (np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in words.column(k))]) for k in ("words", "counts"))
-        word, place = np.unique(np.concatenate([word.view(U64), [BEGIN, END]]), return_index=True)
-        count = np.concatenate([count, [ends, ends]])[place]
+            return pa.table({k: pa.array([], t) for k, t in kinds})
+        t = Tokens(documents)
+        unit = documents.column("unit")[0].as_py()
+        word, count = _vocabulary(words, ends)
         shares = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(count, 1) / SHARE))).astype(np.int64)
         t.pairs(shares, word)
         c = count[np.searchsorted(word, t.w)]
-        row = np.concatenate([[True], (t.h[1:] != t.h[:-1]) | (t.share[1:] != t.share[:-1])])
-        head = np.flatnonzero(row)
+        head = np.flatnonzero(np.concatenate([[True], (t.h[1:] != t.h[:-1]) | (t.share[1:] != t.share[:-1])]))
         at = np.concatenate([head, [len(t.h)]])
         h, share = t.h[head], t.share[head]
-        out = pa.table({
-            "h": h.view(np.int64), "share": share, "unit": pa.array(np.full(len(h), documents.column("unit")[0].as_py(), np.int32)),
-            "w": _binary(t.w, at), "n": _binary(t.n_train, at), "c": _binary(c, at),
-        })
+        short = np.ascontiguousarray(t.w.view(np.uint8).reshape(-1, 8)[:, :SHORT])
+        counts = _varint_runs(np.column_stack([t.n_train, c]).ravel(), 2 * at)
         # every share of a frequent history is asked for, so that its sums come back whole
         present = np.unique(h)
         many = present[shares[np.searchsorted(word, present)] > 1]
         have = set(zip(h.tolist(), share.tolist(), strict=True))
         lacking = [(x, s) for x in many.tolist() for s in range(int(shares[np.searchsorted(word, U64(x))])) if (x, s) not in have]
-        if lacking:
-            none = pa.array([b""] * len(lacking), pa.binary())
-            more = pa.table({
-                "h": np.array([x for x, _ in lacking], U64).view(np.int64), "share": pa.array([s for _, s in lacking], pa.int32()), "unit": pa.array(np.full(len(lacking), out.column("unit")[0].as_py(), np.int32)),
-                "w": none, "n": none, "c": none,
-            })
-            out = pa.concat_tables([out, more])
-        return out
+        columns = {
+            "h": np.concatenate([h, np.array([x for x, _ in lacking], U64)]).view(np.int64), "share": np.concatenate([share, np.array([s for _, s in lacking], np.int32)]),
+            "unit": np.full(len(h) + len(lacking), unit, np.int32), "w": pa.concat_arrays([_runs(short, at * SHORT), pa.array([b""] * len(lacking), pa.binary())]),
+            "counts": pa.concat_arrays([counts, pa.array([b""] * len(lacking), pa.binary())]),
+        }
+        return pa.table({k: pa.array(columns[k], x) if isinstance(columns[k], np.ndarray) else columns[k] for k, x in kinds})
 
     return units.groupBy("unit").cogroup(vocabulary.groupBy("unit")).applyInArrow(ask, REQUEST)
 
@@ -163,8 +178,12 @@ def answers(asked: DataFrame, rows: int = 200_000) -> DataFrame:
         t = t.combine_chunks()
         h, share = t.column("h").to_numpy(), t.column("share").to_numpy()
         group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (share[1:] != share[:-1])]))
-        w, at = _numbers(t.column("w"), U64)
-        n, c = _numbers(t.column("n"), np.int64)[0], _numbers(t.column("c"), np.int64)[0]
+        data, at = utf8(t.column("w"))
+        at = at // SHORT
+        w = np.zeros((len(data) // SHORT, 8), np.uint8)
+        w[:, :SHORT] = data.reshape(-1, SHORT)
+        w = w.view(U64).ravel()
+        n, c = from_varints(utf8(t.column("counts"))[0]).reshape(-1, 2).T
         of = np.repeat(group, np.diff(at))
         stats = np.zeros((group[-1] + 1, STATS), np.int64)
         total = np.zeros(len(w), np.int64)
@@ -186,7 +205,7 @@ def answers(asked: DataFrame, rows: int = 200_000) -> DataFrame:
         count = t.num_rows
         hists = pa.ListArray.from_arrays(pa.array(np.zeros(count + 1), pa.int32()), pa.array([], pa.int64()))
         width = np.arange(count + 1) * STATS
-        yield pa.RecordBatch.from_arrays([t.column("unit").chunk(0), t.column("h").chunk(0), t.column("share").chunk(0), _binary(total, at), _binary(stats[group].ravel(), width), hists], ["unit", "h", "share", "r", "stats", "hist"])
+        yield pa.RecordBatch.from_arrays([t.column("unit").chunk(0), t.column("h").chunk(0), t.column("share").chunk(0), _varint_runs(total, at), _varint_runs(stats[group].ravel(), width), hists], ["unit", "h", "share", "r", "stats", "hist"])
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([hist.tolist()], pa.list_(pa.int64()))],
             ["unit", "h", "share", "r", "stats", "hist"],
@@ -220,17 +239,17 @@ def scores(units: DataFrame, answer: DataFrame, d: np.ndarray, total: int, kinds
 
     def score(documents: pa.Table, got: pa.Table) -> pa.Table:
         if not documents.num_rows:
-            return pa.table({key: documents.column(key), **{k: pa.array([], x) for k, x in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
-        t = Tokens(documents, key)
+            return pa.table({key: pa.array([], documents.schema.field("keys").type.value_type), **{k: pa.array([], x) for k, x in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
+        t = Tokens(documents)
         got = got.combine_chunks()
         h, share = got.column("h").to_numpy().view(U64), got.column("share").to_numpy()
         order = np.lexsort((share, h))
         got = got.take(pa.array(order))
         histories, start = np.unique(h[order], return_index=True)
-        stats = _numbers(got.column("stats"), np.int64)[0].reshape(-1, STATS)
+        stats = from_varints(utf8(got.column("stats"))[0]).reshape(-1, STATS)
         stats = np.add.reduceat(stats, start)
         t.pairs(np.diff(np.concatenate([start, [len(h)]])), histories)
-        r = _numbers(got.column("r"), np.int64)[0]
+        r = from_varints(utf8(got.column("r"))[0])
         many = np.arange(1, K + 1)
         c = (stats[:, :K] * many).sum(1) + stats[:, K + 1]
         mass = ((stats[:, :K] * (many * d[1:])).sum(1) + stats[:, K + 1]) / np.maximum(c, 1)
@@ -261,10 +280,12 @@ def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20,
     """
     kind = docs.schema[key].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length(text)).alias("b")).first().b or 0
-    units = _units(docs, train, max(1, -(-size // unit_bytes)), key, text)
-    flagged = docs.select(F.pmod(F.xxhash64(key), F.lit(max(1, -(-size // unit_bytes)))).cast("int").alias("unit"), F.coalesce(train, F.lit(False)).alias("train"), text)
+    n_units = max(1, -(-size // unit_bytes))
+    units = _units(docs, train, n_units, key, text)
+    flagged = docs.select(F.pmod(F.xxhash64(key), F.lit(n_units)).cast("int").alias("unit"), F.coalesce(train, F.lit(False)).alias("train"), text)
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Distinct words of each unit in a batch with their training counts."""
         h, n = _hashes(*utf8(batch.column(2)))
         unit = np.repeat(batch.column(0).to_numpy(), n)
         taught = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
@@ -274,15 +295,20 @@ def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20,
         c = np.add.reduceat(taught[order].astype(np.int64), start) if len(h) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(u[start], pa.int32()), pa.array(w[start].view(np.int64)), pa.array(c)], ["unit", "word", "c"])
 
-    used = arrow_map(flagged, words, "unit int, word long, c long").groupBy("unit", "word").agg(F.sum("c").alias("c"))
-    used = cut(used)
-    unigrams = used.groupBy("word").agg(F.sum("c").alias("count"))
-    counted = cut(unigrams)
+    used = arrow_map(flagged, words, "unit int, word long, c long")
+    counted = stored(used.groupBy("word").agg(F.sum("c").alias("count")))
     sums = counted.agg(F.sum("count").alias("n"), F.sum((F.col("count") > 0).cast("long")).alias("v")).first()
     ends = docs.where(F.coalesce(train, F.lit(False))).count()
     total, kinds = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
-    vocabulary = used.select("unit", "word").join(counted, "word").groupBy("unit").agg(F.collect_list("word").alias("words"), F.collect_list("count").alias("counts"))
-    answer = cut(answers(requests(units, vocabulary, ends, key)))
+
+    def sorted_words(part: pa.Table) -> pa.Table:
+        word, place = np.unique(part.column("word").to_numpy().view(U64), return_index=True)
+        gaps = np.diff(word, prepend=U64(0))
+        return pa.table({"unit": part.column("unit")[:1], "words": pa.array([packed(gaps)], pa.binary()), "counts": pa.array([packed(part.column("count").to_numpy()[place])], pa.binary())})
+
+    looked_up = used.select("unit", "word").join(counted, "word")
+    vocabulary = stored(looked_up.groupBy("unit").applyInArrow(sorted_words, "unit int, words binary, counts binary"))
+    answer = stored(answers(requests(units, vocabulary, ends)))
     seen = {x.pos: x.n for x in answer.where("unit = -1").select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
     d = discounts(np.array([seen.get(i, 0) for i in range(K + 2)], float))
     out = scores(units, answer, d, total, kinds, ends, key, kind)
