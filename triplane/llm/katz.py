@@ -76,8 +76,15 @@ def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([w.hash for w in found]), np.concatenate([np.diff(w.at) for w in found])
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order and how often each is there."""
+    values = np.sort(values)
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[start], np.diff(np.append(start, len(values)))
+
+
 class Tokens:
-    """The (history, token) places of a unit's documents, and its distinct pairs in order (history, share, token)."""
+    """The words of a unit's documents, and its distinct (history, token) pairs in order (history, share, token)."""
 
     def __init__(self, table: pa.Table) -> None:
         table = table.combine_chunks()
@@ -85,29 +92,41 @@ class Tokens:
         train = train.to_numpy()
         raw = [zstandard.ZstdDecompressor().decompress(x) for x in table.column("blob").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
-        h, n = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        self.words, n = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
         self.n = n + 1
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        self.token, self.history = np.empty(self.at[-1], U64), np.empty(self.at[-1], U64)
-        last, first = np.zeros(self.at[-1], bool), np.zeros(self.at[-1], bool)
-        last[self.at[1:] - 1] = True
-        first[self.at[:-1]] = True
-        self.token[~last], self.token[last] = h, END
-        self.history[~first], self.history[first] = h, BEGIN
         self.train = np.repeat(train, self.n)
 
-    def pairs(self, shares: np.ndarray, histories: np.ndarray) -> None:
-        """Sort the pairs; ``shares``: of the sorted ``histories``, into how many parts followers go."""
-        parts = shares[np.searchsorted(histories, self.history)].astype(U64)
-        share = ((self.token >> U64(33)) % parts).astype(np.int32)
-        order = np.lexsort((self.token, share, self.history))
-        h, s, w = self.history[order], share[order], self.token[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    def pairs(self, vocabulary: np.ndarray, shares: np.ndarray) -> None:
+        """Sort the pairs. ``vocabulary``: words, beginning and end in order; a pair's ``h`` and ``w`` are places in it.
+        ``shares``: into how many parts the followers of each go."""
+        begin, end = np.searchsorted(vocabulary, np.array([BEGIN, END], U64)).astype(U64)
+        place = np.searchsorted(vocabulary, self.words).astype(U64)
+        token, history = np.empty(self.at[-1], U64), np.empty(self.at[-1], U64)
+        inner = np.ones(self.at[-1], bool)
+        inner[self.at[1:] - 1] = False
+        token[inner], token[~inner] = place, end
+        inner[:] = True
+        inner[self.at[:-1]] = False
+        history[inner], history[~inner] = place, begin
+        parts = shares.astype(U64)
+        share = (vocabulary[token] >> U64(33)) % parts[history]
+        low, mid = len(vocabulary).bit_length(), int(shares.max()).bit_length()
+        if 2 * low + mid <= 64:  # a pair is one number
+            key = (history << U64(low + mid)) | (share << U64(low)) | token
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+        else:
+            order = np.lexsort((token, share, history))
+            h, w = history[order], token[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         self.start = np.flatnonzero(new)
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.n_train = np.add.reduceat(self.train[order].astype(np.int64), self.start)
-        self.h, self.share, self.w = h[self.start], s[self.start], w[self.start]
+        first = order[self.start]
+        self.h, self.share, self.w = history[first].view(np.int64), share[first].astype(np.int32), token[first].view(np.int64)
 
 
 def _runs(data: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -147,18 +166,18 @@ def requests(units: DataFrame, vocabulary: DataFrame, ends: int) -> DataFrame:
         unit = documents.column("unit")[0].as_py()
         word, count = _vocabulary(words, ends)
         shares = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(count, 1) / SHARE))).astype(np.int64)
-        t.pairs(shares, word)
-        c = count[np.searchsorted(word, t.w)]
+        t.pairs(word, shares)
+        c = count[t.w]
         head = np.flatnonzero(np.concatenate([[True], (t.h[1:] != t.h[:-1]) | (t.share[1:] != t.share[:-1])]))
         at = np.concatenate([head, [len(t.h)]])
-        h, share = t.h[head], t.share[head]
-        short = np.ascontiguousarray(t.w.view(np.uint8).reshape(-1, 8)[:, :SHORT])
+        place, share = t.h[head], t.share[head]
+        h = word[place]
+        short = np.ascontiguousarray(word[t.w].view(np.uint8).reshape(-1, 8)[:, :SHORT])
         counts = _varint_runs(np.column_stack([t.n_train, c]).ravel(), 2 * at)
         # every share of a frequent history is asked for, so that its sums come back whole
-        present = np.unique(h)
-        many = present[shares[np.searchsorted(word, present)] > 1]
-        have = set(zip(h.tolist(), share.tolist(), strict=True))
-        lacking = [(x, s) for x in many.tolist() for s in range(int(shares[np.searchsorted(word, U64(x))])) if (x, s) not in have]
+        many = shares[place] > 1
+        have = set(zip(h[many].tolist(), share[many].tolist(), strict=True))
+        lacking = [(int(word[x]), s) for x in np.unique(place[many]).tolist() for s in range(int(shares[x])) if (int(word[x]), s) not in have]
         columns = {
             "h": np.concatenate([h, np.array([x for x, _ in lacking], U64)]).view(np.int64), "share": np.concatenate([share, np.array([s for _, s in lacking], np.int32)]),
             "unit": np.full(len(h) + len(lacking), unit, np.int32), "w": pa.concat_arrays([_runs(short, at * SHORT), pa.array([b""] * len(lacking), pa.binary())]),
@@ -169,7 +188,7 @@ def requests(units: DataFrame, vocabulary: DataFrame, ends: int) -> DataFrame:
     return units.groupBy("unit").cogroup(vocabulary.groupBy("unit")).applyInArrow(ask, REQUEST)
 
 
-def answers(asked: DataFrame, rows: int = 200_000) -> DataFrame:
+def answers(asked: DataFrame, rows: int = 50_000) -> DataFrame:
     """For each request the total training counts of its followers and the sums of its history's share; and, once
     for each distinct bigram, its place in the histogram of counts (unit -1)."""
     dealt = asked.repartition("h", "share").sortWithinPartitions("h", "share")
@@ -189,8 +208,14 @@ def answers(asked: DataFrame, rows: int = 200_000) -> DataFrame:
         total = np.zeros(len(w), np.int64)
         hist = np.zeros(K + 2, np.int64)
         if len(w):
-            order = np.lexsort((w, of))
-            new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])])
+            if group[-1] < 1 << 8 * (8 - SHORT):  # share and follower are one number
+                pair = of.astype(U64) << U64(8 * SHORT) | w
+                order = np.argsort(pair)
+                pair = pair[order]
+                new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            else:
+                order = np.lexsort((w, of))
+                new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])])
             start = np.flatnonzero(new)
             r = np.add.reduceat(n[order], start)
             total[order] = r[np.cumsum(new) - 1]
@@ -248,18 +273,20 @@ def scores(units: DataFrame, answer: DataFrame, d: np.ndarray, total: int, kinds
         histories, start = np.unique(h[order], return_index=True)
         stats = from_varints(utf8(got.column("stats"))[0]).reshape(-1, STATS)
         stats = np.add.reduceat(stats, start)
-        t.pairs(np.diff(np.concatenate([start, [len(h)]])), histories)
+        # the end is no history, yet a token
+        end = int(np.searchsorted(histories, END))
+        stats = np.insert(stats, end, 0, axis=0)
+        t.pairs(np.insert(histories, end, END), np.insert(np.diff(np.concatenate([start, [len(h)]])), end, 1))
         r = from_varints(utf8(got.column("r"))[0])
         many = np.arange(1, K + 1)
         c = (stats[:, :K] * many).sum(1) + stats[:, K + 1]
         mass = ((stats[:, :K] * (many * d[1:])).sum(1) + stats[:, K + 1]) / np.maximum(c, 1)
         scale = np.where(mass > c / (c + 1.0), c / (c + 1.0) / np.maximum(mass, 1e-300), 1.0)
         backoff = np.where(c > 0, (1 - mass * scale) / (1 - (stats[:, K + 2] + ADD * stats[:, K]) / whole), 1.0)
-        at = np.searchsorted(histories, t.h)
-        known = np.searchsorted(histories, t.w)
-        same = histories[np.minimum(known, len(histories) - 1)] == t.w
-        cw = np.where(same, c[np.minimum(known, len(histories) - 1)], 0)
-        cw[t.w == END] = ends
+        at = t.h
+        c_token = c.copy()
+        c_token[end] = ends
+        cw = c_token[t.w]
         p = (cw + ADD) / whole
         with np.errstate(divide="ignore", invalid="ignore"):
             bigram = scale[at] * d[np.minimum(r, K + 1) % (K + 1)] * r / np.maximum(c[at], 1)
@@ -286,14 +313,24 @@ def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20,
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Distinct words of each unit in a batch with their training counts."""
-        h, n = _hashes(*utf8(batch.column(2)))
-        unit = np.repeat(batch.column(0).to_numpy(), n)
-        taught = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
-        order = np.lexsort((h, unit))
-        u, w = unit[order], h[order]
-        start = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
-        c = np.add.reduceat(taught[order].astype(np.int64), start) if len(h) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u[start], pa.int32()), pa.array(w[start].view(np.int64)), pa.array(c)], ["unit", "word", "c"])
+        unit, taught = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        order = np.lexsort((taught, unit))
+        unit, taught = unit[order], taught[order]
+        h, n = _hashes(*utf8(batch.column(2).take(pa.array(order))))
+        at = np.concatenate([[0], np.cumsum(n)])
+        heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        found = []
+        for i, j in zip(heads, np.append(heads[1:], len(unit)), strict=True):
+            w, _ = _counted(h[at[i] : at[j]])
+            known, times = _counted(h[at[i + np.searchsorted(taught[i:j], True)] : at[j]])
+            c = np.zeros(len(w), np.int64)
+            c[np.searchsorted(w, known)] = times
+            found.append((w, c))
+        size = [len(w) for w, _ in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(unit[heads], size), pa.int32()), pa.array(np.concatenate([w for w, _ in found]).view(np.int64)), pa.array(np.concatenate([c for _, c in found]))],
+            ["unit", "word", "c"],
+        )
 
     used = arrow_map(flagged, words, "unit int, word long, c long")
     counted = stored(used.groupBy("word").agg(F.sum("c").alias("count")))
