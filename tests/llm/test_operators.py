@@ -361,3 +361,60 @@ def test_queries_return_every_row(spark, sf_dir, name):
 
 def test_held_out_rows():
     assert [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0]
+
+
+def test_licence_headers(spark):
+    """Wrapped notices as they stand in files, none of them word for word a template's lines."""
+    gpl = """# Copyright (C) 2015 A. Writer
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os
+"""
+    apache = """/*
+ * Licensed under the Apache License, Version 2.0 (the
+ * "License"); you may not use this file except in compliance
+ * with the License. You may obtain a copy of the License at
+ *    https://www.apache.org/licenses/LICENSE-2.0
+ * Unless required by applicable law or agreed to in writing,
+ * software distributed under the License is distributed on an
+ * "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.
+ */
+class A {}
+"""
+    bsd = """Redistribution and use in source and binary forms, with or
+without modification, are permitted provided that the following conditions
+are met:
+
+  * Redistributions of source code must retain the above copyright notice,
+    this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+"""
+    isc = """Copyright 2020 Someone
+
+Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.
+"""
+    lgpl = gpl.replace("GNU General", "GNU Lesser General").replace("program", "library").replace("# ", "dnl ")
+    prose_around = " ".join(prose(900))
+    texts = {1: ("GPL-3.0", gpl), 2: ("Apache-2.0", apache), 3: ("BSD-2-Clause", bsd), 4: ("ISC", isc), 5: ("LGPL-3.0", lgpl), 6: ("GPL-3.0", prose_around + "\n" + gpl + prose_around),
+             7: ("EPL-2.0", "// SPDX-License-Identifier: EPL-2.0\nint x;"), 8: ("BSD-3-Clause", "# SPDX-License-Identifier: (BSD-3-Clause OR GPL-2.0-only)\n"), 9: (None, "# SPDX-License-Identifier: LicenseRef-Own\n"), 10: (None, prose_around + " license " + prose_around)}
+    files = spark.createDataFrame([(k, f"{k}/f", t) for k, (_, t) in texts.items()], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in license_scan.scan(files).collect()}
+    assert got == {k: x for k, (x, _) in texts.items()}

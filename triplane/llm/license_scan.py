@@ -1,12 +1,16 @@
-"""Licence scan with DataFrame functions only: sparse TF-IDF cosine of licence statements to templates, then
-inheritance from the nearest ancestor directory that has a licence file, by path joins."""
+"""Licence scan with DataFrame functions only: sparse TF-IDF cosine of headers, licence files and single statements
+to templates, then inheritance from the nearest ancestor directory that has a licence file, by path joins."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import license_headers
+
 # Licence identifiers and the usual wording of their notices.
 TEMPLATES = (
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
@@ -36,6 +40,15 @@ TEMPLATES = (
 #: What a statement must hold to be compared at all.
 CUE = "(?i)licen[sc]|permi(t|ssion)|redistribut|public domain|spdx"
 LICENCE_FILE = "(?i)^(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
+#: The same on a token. A window without one resembles no template.
+TOKEN_CUE = "licen[sc]|permi(t|ssion)|redistribut|^domain$|spdx"
+#: What comment lines begin with, besides signs that no token has.
+COMMENT_WORD = "(?mi)^[ \\t]*@?(rem|dnl)[ \\t]"
+#: The first line that is neither blank nor a comment line.
+CODE_LINE = "(?mi)^[ \\t]*(?!#|//|/\\*|\\*|;|--|%|<!--|rem[ \\t]|dnl[ \\t])[^ \\t\\r\\n]"
+#: A comment between marks at the start, after a line for the interpreter or the encoding.
+BLOCK = "(?s)^(?:#[^\\n]*\\n|\\s)*+(/\\*.*?\\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')"
+SPDX_TAG = "(?i)spdx-license-identifier:?[ \\t]*[(]*[ \\t]*([a-z0-9.+-]+)"
 SENTENCE_END = "([.!?;])[ \\t\\r\\n]+"
 NOT_TOKEN = "[^a-z0-9.+-]+"
 
@@ -51,6 +64,71 @@ def statements(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(CUE))
 
 
+def _sizes(lengths: list[int], ratio: float = 1.4) -> list[int]:
+    """Window lengths such that each template is within a fifth or so of one."""
+    out: list[int] = []
+    for n in sorted(set(lengths)):
+        if not out or n > out[-1] * 1.18:
+            out.append(round(n * ratio / 1.18))
+    return out
+
+
+def pieces(texts: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """``text_id, text`` -> ``text_id, piece (array of tokens)``: what is compared with headers and licence texts. It is a
+    text's leading comment, its start at the length of each template, the whole unless far longer than any
+    template, SPDX tags, and windows of template length with a cue. An explode keeps Spark from making a step anew for each use."""
+    lengths = sorted({n for _, body in templates if (n := len(re.findall("[a-z0-9.+-]*[a-z0-9][a-z0-9.+-]*", body.lower()))) > 2})
+    longest = lengths[-1] * 3 // 2
+    text, whole, n, size = F.col("text"), F.col("p.whole"), F.col("p.n"), F.col("w.size")
+    once = lambda **columns: F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
+    at = F.regexp_instr(text, F.lit(CODE_LINE))
+    lines = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(F.lit(""))
+    spdx = F.transform(F.regexp_extract_all(text, F.lit(SPDX_TAG), F.lit(1)), lambda x: F.array(F.lit("spdx-license-identifier"), F.regexp_replace(F.lower(x), "[.]+$", "")))
+    read = texts.select("text_id", once(whole=header_tokens(text), lines=header_tokens(lines), block=header_tokens(F.regexp_extract(text, BLOCK, 1)), spdx=spdx).alias("p"))
+    cues = F.filter(F.transform(whole, lambda x, i: F.when(x.rlike(TOKEN_CUE), i)), lambda x: x.isNotNull())
+    read = read.select("text_id", once(whole=whole, n=F.size(whole), lines=F.col("p.lines"), block=F.col("p.block"), spdx=F.col("p.spdx"), cues=cues).alias("p"))
+    kinds = [(x, 0) for x in lengths] + [(x, max(1, x // 6)) for x in _sizes(lengths)] + [(0, 0)]
+    sizes = F.array(*(F.struct(F.lit(x).alias("size"), F.lit(step).alias("step")) for x, step in kinds))
+    read = read.select("text_id", "p", F.explode(sizes).alias("w")).where((size < n) | (size == 0))
+    # the windows that begin at a multiple of the step and hold a cue, the last one whole
+    step = F.col("w.step")
+    first = lambda c: F.greatest(F.lit(0), F.ceil((c - size + 1) / step).cast("int"))
+    begins = F.flatten(F.transform("p.cues", lambda c: F.sequence(first(c), F.floor(c / step).cast("int"))))
+    begins = F.array_distinct(F.transform(begins, lambda k: F.least(k * step, n - size)))
+    whole_text = F.when(n <= longest, F.array(whole)).otherwise(F.array().cast("array<array<string>>"))
+    found = F.when(size == 0, F.concat(F.array("p.lines", "p.block"), whole_text, "p.spdx"))
+    found = found.when(step == 0, F.array(F.slice(whole, F.lit(1), size))).otherwise(F.transform(begins, lambda b: F.slice(whole, b + 1, size)))
+    return read.select("text_id", F.explode(found).alias("piece")).where((F.size("piece") > 1) & (F.size("piece") <= longest))
+
+
+def header_tokens(text: Column) -> Column:
+    """Tokens of lines read as one, without what only decorates a comment."""
+    return F.filter(tokens(F.regexp_replace(text, COMMENT_WORD, " ")), lambda x: x.rlike("[a-z0-9]"))
+
+
+def headers(files: DataFrame, text: str, least: float, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """``files`` with ``text`` -> ``text_id, licence, score`` of the best piece of each text that reaches ``least``.
+
+    Texts are dealt out once by their id, all else stays within a task. A piece goes on only if its tokens that
+    templates have weigh enough for a cosine of ``least``; no other can reach it (Cauchy-Schwarz)."""
+    cued = files.where(F.col(text).rlike(CUE)).groupBy(text_id(text).alias("text_id")).agg(F.first(text).alias("text"))
+    parts = pieces(cued, templates).withColumn("piece_id", F.xxhash64("piece"))
+    ids = ["text_id", "piece_id"]
+    known, idf, default = _known(files, templates)
+    counts = parts.select(*ids, F.explode("piece").alias("token")).groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf"))
+    w = counts.join(F.broadcast(idf), "token", "left").select(*ids, "token", F.col("idf").isNotNull().alias("has"), (F.col("tf") * F.coalesce("idf", F.lit(default))).alias("w"))
+    square = F.col("w") * F.col("w")
+    sums = w.groupBy(*ids).agg(F.sum(square).alias("all"), F.sum(F.when(F.col("has"), square)).alias("shared"), F.collect_list(F.when(F.col("has"), F.struct("token", "w"))).alias("own"))
+    near = sums.where(F.col("shared") >= (least - 1e-4) ** 2 * F.col("all")).select(*ids, "all", F.explode("own").alias("t")).select(*ids, F.col("t.token").alias("token"), (F.col("t.w") / F.sqrt("all")).alias("w"))
+    cosine = near.join(F.broadcast(known), "token").groupBy(*ids, "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("score"))
+    cosine = cosine.withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
+    return cosine.groupBy("text_id").agg(F.max_by("licence", F.struct("score", -F.col("template"))).alias("licence"), F.max("score").alias("score"))
+
+
+def text_id(text: str) -> Column:
+    return F.xxhash64(text)
+
+
 def _weighted(rows: DataFrame, ids: list[str], idf: DataFrame, text: str, default: float) -> DataFrame:
     """Sparse TF-IDF vectors of length one: ids, token, w."""
     counts = rows.select(*ids, F.explode(tokens(F.col(text))).alias("token")).groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -59,18 +137,23 @@ def _weighted(rows: DataFrame, ids: list[str], idf: DataFrame, text: str, defaul
     return w.join(norms, ids).select(*ids, "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def matched(found: DataFrame, least: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``found(statement)`` distinct -> ``statement, licence, score`` where the best cosine reaches ``least``.
+def _known(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> tuple[DataFrame, DataFrame, float]:
+    """Vectors of the templates (template, licence, token, tw), idf by token, and that of any other token.
 
     The template table is a constant of the operator, so its few rows are broadcast."""
-    spark = found.sparkSession
+    spark = rows.sparkSession
     table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, body string")
     df = table.select("template", F.explode(F.array_distinct(tokens(F.col("body")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n = len(templates)
     idf = df.select("token", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     unseen = F.log(F.lit(1.0) + n) + 1
     default = spark.range(1).select(unseen.alias("x")).first().x
-    known = _weighted(table, ["template", "licence"], idf, "body", default).withColumnRenamed("w", "tw")
+    return _weighted(table, ["template", "licence"], idf, "body", default).withColumnRenamed("w", "tw"), idf, default
+
+
+def matched(found: DataFrame, least: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """``found(statement)`` distinct -> ``statement, licence, score`` where the best cosine reaches ``least``."""
+    known, idf, default = _known(found, templates)
     own = _weighted(found, ["statement"], idf, "statement", default)
     cosine = own.join(F.broadcast(known), "token").groupBy("statement", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("score"))
     cosine = cosine.withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
@@ -86,7 +169,9 @@ def scan(files: DataFrame, least: float = 0.7, key: str = "doc_id", path: str =
     """``key, path, licence, basis, score``: own licence (basis ``own``), else that of the nearest ancestor
     directory with a licence file (``inherited``), else null (``none``).
 
-    A file with several statements takes the best match; ties go to the earlier template. A directory with
+    A header or licence text that reaches ``least`` goes before single statements, which it may hold in a
+    different sense (the first sentence of several licences is the same). Among either, a file takes the best
+    match; of equal templates the earlier wins. A directory with
     several licence files takes the best match, ties to the first path. A null path has no directory and
     inherits nothing; null and empty texts have no statement. A null key stays null; rows that repeat
     (key, path) count once. Other columns aren't read. An empty table gives an empty one.
@@ -98,7 +183,10 @@ def scan(files: DataFrame, least: float = 0.7, key: str = "doc_id", path: str =
     cued = rows.where("statement IS NOT NULL").distinct()
     best = matched(cued.select("statement").distinct(), least)
     rank = F.struct("score", F.col("statement"))
-    own = cued.join(best, "statement").groupBy("key", "path").agg(F.max_by("licence", rank).alias("own"), F.max("score").alias("score"))
+    said = cued.join(best, "statement").groupBy("key", "path").agg(F.max_by(F.struct("licence", "score"), rank).alias("hit")).select("key", "path", F.lit(0).alias("whole"), "hit")
+    named = files.where(F.col(text).rlike(CUE)).select(F.col(key).alias("key"), F.col(path).alias("path"), text_id(text).alias("text_id"))
+    whole = named.join(headers(files, text, least, license_headers.templates()), "text_id").select("key", "path", F.lit(1).alias("whole"), F.struct("licence", "score").alias("hit"))
+    own = said.union(whole).groupBy("key", "path").agg(F.max_by("hit", F.struct("whole", F.col("hit.score"), F.col("hit.licence"))).alias("hit")).select("key", "path", F.col("hit.licence").alias("own"), F.col("hit.score").alias("score"))
     everyone = files.select(F.col(key).alias("key"), F.col(path).alias("path")).distinct()
     same = everyone["key"].eqNullSafe(own["key"]) & everyone["path"].eqNullSafe(own["path"])
     all_files = everyone.join(own, same, "left").select(everyone["key"], everyone["path"], "own", "score").withColumn("dir", directory(F.col("path")))
