@@ -3,6 +3,8 @@ then document rates by distributed projected-gradient least squares."""
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,12 +78,49 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample:
     return Classifier(domains, weights, np.log((n_docs + 1) / (n_docs.sum() + len(domains))), sharpness)
 
 
-def _rates(p: np.ndarray, history: list[tuple[float, np.ndarray]], momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps of ``history`` (momentum, scaled residual), and those ahead by ``momentum``."""
-    before = now = np.ones(len(p))
-    for m, step in history:
-        before, now = now, np.maximum(0.0, now + m * (now - before) - p @ step)
-    return now, now + momentum * (now - before)
+def _rates(p: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Rate 1 moved against the price of each domain and projected on what is not negative."""
+    return np.maximum(0.0, 1.0 - p @ price)
+
+
+def _sums(n: np.ndarray, p: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Domain totals of the rates, their squared length in the token metric, and domain x domain sums of the rows whose rate isn't 0."""
+    rate = _rates(p, price)
+    return np.concatenate([(n * rate) @ p, [n @ (rate * rate)], ((p * (n * (rate > 0))[:, None]).T @ p).ravel()])
+
+
+def solve(totals: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(price, totals of its rates, whether it is the optimum) of the least-squares problem in ``mix``.
+
+    The rates' squared distance from 1 counts with a tiny weight, so the unknown is one price a domain. A step of
+    projected gradient is scaled by the inverse of the domain x domain sums, so a rare domain moves as
+    fast as others, and is halved until the dual improves. ``totals``: a pass, giving ``_sums`` of all rows."""
+    width = len(wanted)
+    price = np.zeros(width)
+    scale = max(wanted.sum(), 1e-300)
+    b = wanted / scale
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        s = totals(x) / scale
+        return 0.5 * tiny * (x @ x) + 0.5 * s[width] + x @ b, tiny * x - s[:width] + b, s[width + 1 :].reshape(width, width), s[:width]
+
+    tiny = 0.0
+    now = at(price)
+    tiny = 1e-12 * max(float(np.linalg.eigvalsh(now[2]).max()), 1e-300)
+    least = 0.1 * tolerance * np.maximum(b, 1e-3 * b[b > 0].min() if (b > 0).any() else 1.0)
+    length, move = 1.0, None
+    for _ in range(steps):
+        value, slope, square, reached = now
+        if (np.abs(slope) <= least).all():
+            return price, reached * scale, True
+        if move is None:
+            move = -np.linalg.solve(square + tiny * np.eye(width), slope)
+        then = at(price + length * move)
+        if then[0] <= value + 1e-4 * length * (move @ slope) or np.abs(then[1]).max() < 0.5 * np.abs(slope).max():
+            price, now, length, move = price + length * move, then, 1.0, None
+        else:
+            length *= 0.5
+    return price, now[3] * scale, bool((np.abs(now[1]) <= least).all())
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None, steps: int = 60, tolerance: float = 1e-3, key: str = "doc_id", text: str = "text", **fit_options) -> DataFrame:
@@ -89,13 +128,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_t
 
     ``labelled(key, domain)``; ``targets``: weights of the domains (scaled to sum 1) of ``total_tokens``, by
     default the tokens there are. The rates minimise the squared error of the expected domain totals,
-    sum of rate x tokens x posterior, from rate 1 on: accelerated projected gradient in the token metric, whose
-    Lipschitz constant is the largest eigenvalue of a small domain x domain sum. A step costs one pass over
-    the posteriors; the driver sees one total for each domain. ``domain``: the likeliest, ties to the
+    sum of rate x tokens x posterior, and of these are the closest to 1: projected gradient in the token metric, scaled
+    by the inverse of a small domain x domain sum (``solve``), until each domain is within ``tolerance`` of its own
+    target. A step costs one pass over the posteriors; the driver sees domain x domain sums. ``domain``: the likeliest, ties to the
     first in alphabetical order. Null texts and texts without words have 0 tokens, the prior as posterior and
     weigh nothing, whatever their rate. Without labelled rows all posteriors are equal. Repeated rows count
-    each; a null key stays null. Targets that can't be reached are met as closely as rates allow. Other columns aren't
-    read. An empty table gives an empty one.
+    each; a null key stays null. Targets that can't be reached are met as closely as rates allow, and a warning gives
+    what each domain reaches; so does one if ``steps`` passes don't suffice. Other columns aren't read. An empty table gives an empty one.
     """
     domains = tuple(sorted(targets))
     model = fit(docs, labelled, domains, key=key, text=text, **fit_options)
@@ -118,24 +157,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_t
         return np.array([r.v for r in sorted(sums, key=lambda r: r.pos)])
 
     width = len(domains)
-    first = totals(lambda n, p: np.concatenate([(n @ p), ((p * n[:, None]).T @ p).ravel()]))
-    history: list[tuple[float, np.ndarray]] = []
-    if len(first):
+    price = np.zeros(width)
+    first = totals(lambda n, p: n @ p)
+    if len(first) and first.sum() > 0:
         wanted = np.array([targets[k] for k in domains], float)
-        wanted *= (total_tokens if total_tokens is not None else first[:width].sum()) / wanted.sum()
-        slope = float(np.linalg.eigvalsh(first[width:].reshape(width, width)).max())
-        now, momentum = first[:width], 0.0
-        for k in range(steps):
-            if slope <= 0 or np.abs(now - wanted).max() <= tolerance * max(wanted.max(), 1e-9):
-                break
-            history.append((momentum, (now - wanted) / slope))
-            momentum = k / (k + 3)
-            now = totals(lambda n, p, steps_=tuple(history), m=momentum: (n * _rates(p, steps_, m)[1]) @ p)
-    final = list(history)
+        wanted *= (total_tokens if total_tokens is not None else first.sum()) / wanted.sum()
+        price, reached, best = solve(lambda x: totals(lambda n, p: _sums(n, p, x)), wanted, steps, tolerance)
+        if not best or (np.abs(reached - wanted) > tolerance * wanted).any():
+            found = ", ".join(f"{k} {got:.6g} of {want:.6g}" for k, got, want in zip(domains, reached, wanted, strict=True))
+            warnings.warn(f"{'targets out of reach' if best else f'rates not settled in {steps} passes'}, tokens by domain: {found}", stacklevel=2)
 
     def rated(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, p = arrays(batch)
         names = pa.array([domains[i] for i in p.argmax(1)], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, batch.column(2), pa.array(_rates(p, final)[0])], [key, "n_tokens", "domain", "posterior", "rate"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, batch.column(2), pa.array(_rates(p, price))], [key, "n_tokens", "domain", "posterior", "rate"])
 
     return arrow_map(rows, rated, f"{key} {kind}, n_tokens long, domain string, posterior array<double>, rate double")
