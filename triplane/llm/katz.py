@@ -46,9 +46,26 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def _units(docs: DataFrame, train: Column, units: int, key: str, text: str) -> DataFrame:
-    """``unit, keys, train, sizes, blob``: the documents of a unit in a batch, texts end to end as one zstandard frame."""
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("unit"), key, F.coalesce(train, F.lit(False)).alias("train"), text)
+def _dealt(docs: DataFrame, train: Column, units: int, unit_bytes: int, key: str, text: str) -> DataFrame:
+    """``unit, key, train, text, copies``: rows dealt by key and text, so rows of one key (or none) are spread. Equal rows
+    would all fall into one unit: where they fill more than a part of one, they are one row with a count. There
+    are at most a few such rows for each unit, known on the driver by the hash that deals."""
+    dealt = F.xxhash64(key, text)
+    rows = docs.select(dealt.alias("_dealt"), F.col(key), F.coalesce(train, F.lit(False)).alias("train"), F.col(text))
+    sizes = rows.groupBy("_dealt").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b"), F.count(F.lit(1)).alias("n"))
+    many = [r[0] for r in sizes.where((F.col("b") * 8 > unit_bytes) & (F.col("n") > 1)).select("_dealt").collect()]
+    unit = F.pmod("_dealt", F.lit(units)).cast("int").alias("unit")
+    columns = [unit, F.col(key), F.col("train"), F.col(text)]
+    if not many:
+        return rows.select(*columns, F.lit(1).cast("long").alias("copies"))
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in many], "_dealt long"))
+    once = rows.join(listed, "_dealt").groupBy("_dealt", key, "train", text).agg(F.count(F.lit(1)).alias("copies"))
+    return rows.join(listed, "_dealt", "left_anti").select(*columns, F.lit(1).cast("long").alias("copies")).union(once.select(*columns, "copies"))
+
+
+def _units(rows: DataFrame, key: str) -> DataFrame:
+    """``unit, keys, train, sizes, copies, blob``: the documents of a unit in a batch, texts end to end as one zstandard frame."""
+    docs = rows
     kind = docs.schema[key].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -58,14 +75,14 @@ def _units(docs: DataFrame, train: Column, units: int, key: str, text: str) -> D
         for u in np.unique(unit).tolist():
             own = batch.filter(pa.array(unit == u))
             data, offsets = utf8(own.column(3))
-            out.append((u, own.column(1), own.column(2), np.diff(offsets), press.compress(data.tobytes())))
+            out.append((u, own.column(1), own.column(2), np.diff(offsets), own.column(4), press.compress(data.tobytes())))
         lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.concat_arrays(parts))
         return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int32()), lists([x[1] for x in out]), lists([x[2] for x in out]), lists([pa.array(x[3]) for x in out]), pa.array([x[4] for x in out], pa.binary())],
-            ["unit", "keys", "train", "sizes", "blob"],
+            [pa.array([x[0] for x in out], pa.int32()), lists([x[1] for x in out]), lists([x[2] for x in out]), lists([pa.array(x[3]) for x in out]), lists([x[4] for x in out]), pa.array([x[5] for x in out], pa.binary())],
+            ["unit", "keys", "train", "sizes", "copies", "blob"],
         )
 
-    return arrow_map(rows, each, f"unit int, keys array<{kind}>, train array<boolean>, sizes array<long>, blob binary")
+    return arrow_map(rows, each, f"unit int, keys array<{kind}>, train array<boolean>, sizes array<long>, copies array<long>, blob binary")
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +105,10 @@ class Tokens:
 
     def __init__(self, table: pa.Table) -> None:
         table = table.combine_chunks()
-        self.keys, train, sizes = (pc.list_flatten(table.column(c)) for c in ("keys", "train", "sizes"))
-        train = train.to_numpy()
+        self.keys, train, sizes, self.copies = (pc.list_flatten(table.column(c)) for c in ("keys", "train", "sizes", "copies"))
+        train, copies = train.to_numpy(), self.copies.to_numpy()
+        if len(copies) and copies.max() > 1:
+            train = train * copies
         raw = [zstandard.ZstdDecompressor().decompress(x) for x in table.column("blob").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
         self.words, n = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -260,11 +279,11 @@ def answers(asked: DataFrame, rows: int = 50_000) -> DataFrame:
 def scores(units: DataFrame, answer: DataFrame, d: np.ndarray, total: int, kinds: int, ends: int, key: str, kind: str) -> DataFrame:
     """``key, n_tokens, n_known, base_score, score`` of every document."""
     whole = total + ADD * (kinds + 1)
-    schema = f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double"
+    schema = f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double, copies long"
 
     def score(documents: pa.Table, got: pa.Table) -> pa.Table:
         if not documents.num_rows:
-            return pa.table({key: pa.array([], documents.schema.field("keys").type.value_type), **{k: pa.array([], x) for k, x in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
+            return pa.table({key: pa.array([], documents.schema.field("keys").type.value_type), **{k: pa.array([], x) for k, x in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64()))}})
         t = Tokens(documents)
         got = got.combine_chunks()
         h, share = got.column("h").to_numpy().view(U64), got.column("share").to_numpy()
@@ -292,9 +311,13 @@ def scores(units: DataFrame, answer: DataFrame, d: np.ndarray, total: int, kinds
             bigram = scale[at] * d[np.minimum(r, K + 1) % (K + 1)] * r / np.maximum(c[at], 1)
         logs = np.log10(np.where(r > 0, bigram, backoff[at] * p))
         add = lambda x: np.add.reduceat(x[t.of], t.at[:-1])
-        return pa.table({key: t.keys, "n_tokens": t.n, "n_known": add((cw > 0).astype(np.int64)), "base_score": add(np.log10(p)), "score": add(logs)})
+        return pa.table({key: t.keys, "n_tokens": t.n, "n_known": add((cw > 0).astype(np.int64)), "base_score": add(np.log10(p)), "score": add(logs), "copies": t.copies})
 
-    return units.groupBy("unit").cogroup(answer.where("unit >= 0").groupBy("unit")).applyInArrow(score, schema)
+    scored = units.groupBy("unit").cogroup(answer.where("unit >= 0").groupBy("unit")).applyInArrow(score, schema)
+    # rows that were counted come back as many; in two steps, so no list of them is long
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 4096)))
+    parts = scored.withColumn("_part", part)
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("copies") - F.col("_part") * 4096)))).drop("_part", "_copy", "copies")
 
 
 def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,23 +331,29 @@ def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20,
     kind = docs.schema[key].dataType.simpleString()
     size = docs.select(F.sum(F.octet_length(text)).alias("b")).first().b or 0
     n_units = max(1, -(-size // unit_bytes))
-    units = _units(docs, train, n_units, key, text)
-    flagged = docs.select(F.pmod(F.xxhash64(key), F.lit(n_units)).cast("int").alias("unit"), F.coalesce(train, F.lit(False)).alias("train"), text)
+    dealt = _dealt(docs, train, n_units, unit_bytes, key, text)
+    units = _units(dealt, key)
+    flagged = dealt.select("unit", "train", text, "copies")
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Distinct words of each unit in a batch with their training counts."""
         unit, taught = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        order = np.lexsort((taught, unit))
-        unit, taught = unit[order], taught[order]
+        # taught last; documents that count more than once apart from the others, by their number
+        times = batch.column(3).to_numpy() * taught
+        order = np.lexsort((times, unit))
+        unit, times = unit[order], times[order]
         h, n = _hashes(*utf8(batch.column(2).take(pa.array(order))))
         at = np.concatenate([[0], np.cumsum(n)])
         heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
         found = []
         for i, j in zip(heads, np.append(heads[1:], len(unit)), strict=True):
             w, _ = _counted(h[at[i] : at[j]])
-            known, times = _counted(h[at[i + np.searchsorted(taught[i:j], True)] : at[j]])
             c = np.zeros(len(w), np.int64)
-            c[np.searchsorted(w, known)] = times
+            for x in np.unique(times[i:j]).tolist():
+                if x:
+                    a, b = i + np.searchsorted(times[i:j], x), i + np.searchsorted(times[i:j], x, side="right")
+                    known, count = _counted(h[at[a] : at[b]])
+                    c[np.searchsorted(w, known)] += count * x
             found.append((w, c))
         size = [len(w) for w, _ in found]
         return pa.RecordBatch.from_arrays(
