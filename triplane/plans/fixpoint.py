@@ -73,7 +73,10 @@ def _first_wins(rule: Rule, found: Solutions) -> Solutions:
             inner = [p for p in x.body if isinstance(p, Pattern)]
             if any(may_feed(t, p) for t in rule.head for p in inner) and found.rows is not None:
                 shared = sorted({v for p in inner for v in p.variables()} & set(found.kinds))
-                order = W.partitionBy(*shared).orderBy(*sorted(found.kinds)) if shared else W.orderBy(*sorted(found.kinds))
+                if not shared:  # the first of all
+                    found = Solutions(found.rows.orderBy(*sorted(found.kinds)).limit(1), found.kinds)
+                    continue
+                order = W.partitionBy(*shared).orderBy(*sorted(found.kinds))
                 found = Solutions(found.rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n"), found.kinds)
     return found
 
