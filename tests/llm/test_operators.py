@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from triplane.llm import components, decontam, katz, langid, license_scan, mixing, ngram_join, qda, quality_rules, queries, substring_dedup, warc
-from triplane.llm.common import packed, unpacked
+from triplane.llm.common import Scratch, packed, unpacked
 
 RNG = np.random.default_rng(5)
 WORDS = np.array([a + b for a in "b c d f g h l m n p r s t".split() for b in "an en in on un ar er or al el ast est ing".split()])
@@ -153,44 +153,88 @@ def test_decontamination(spark, docs, rows):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("share", [50_000, 4])
-def test_katz(spark, docs, rows, share, monkeypatch):
-    monkeypatch.setattr(katz, "SHARE", share)
-    from pyspark.sql import functions as F
-
-    got = katz.score_documents(docs, F.col("doc_id") % 3 != 0, unit_bytes=20_000).collect()
-    taught = [t for k, t in rows if k is not None and k % 3]
-    streams = [[b"^", *words(t), b"$"] for t in taught]
-    c = collections.Counter(x for s in streams for x in s[1:])
-    pairs = collections.Counter(p for s in streams for p in zip(s, s[1:], strict=False))
+def brute_katz(taught, order):
+    """P(word, history) and the counts, by dictionaries."""
+    streams = [[b"^"] * (order - 1) + words(t) + [b"$"] for t in taught]
+    body = [list(range(order - 1, len(s))) for s in streams]
+    c = collections.Counter(s[i] for s, at in zip(streams, body, strict=True) for i in at)
+    grams = {n: collections.Counter(tuple(s[i - n + 1 : i + 1]) for s, at in zip(streams, body, strict=True) for i in at) for n in range(2, order + 1)}
     total, kinds = sum(c.values()), len(c)
     p = lambda w: (c[w] + 0.1) / (total + 0.1 * (kinds + 1))
-    n = collections.Counter(pairs.values())
-    d = katz.discounts(np.array([n[i] if i else 0 for i in range(7)], float))
-    after, mass, low = collections.Counter(), collections.defaultdict(float), collections.defaultdict(float)
-    for (h, w), r in pairs.items():
-        after[h] += r
-        mass[h] += (d[r] if r <= 5 else 1) * r
-        low[h] += p(w)
+    sums = {}
+    d = {}
+    for n, counts in grams.items():
+        of = collections.Counter(counts.values())
+        d[n] = katz.discounts(np.array([of[i] if i else 0 for i in range(7)], float))
+
+    def star(n, r):
+        return (d[n][r] if r <= 5 else 1) * r
 
     def prob(h, w):
-        if not after[h]:
+        if not h:
             return p(w)
-        m, r = mass[h] / after[h], pairs[h, w]
-        g = min(1.0, after[h] / (after[h] + 1) / m)
-        return g * (d[r] if r <= 5 else 1) * r / after[h] if r else (1 - g * m) / (1 - low[h]) * p(w)
+        n = len(h) + 1
+        after, mass, low = sums[n].get(h, (0, 0, 0))
+        if not after:
+            return prob(h[1:], w)
+        m, r = mass / after, grams[n][(*h, w)]
+        g = min(1.0, after / (after + 1) / m)
+        return g * star(n, r) / after if r else (1 - g * m) / (1 - low) * prob(h[1:], w)
+
+    for n in grams:
+        sums[n] = {}
+        for g, r in grams[n].items():
+            x = sums[n].get(g[:-1], (0, 0.0, 0.0))
+            sums[n][g[:-1]] = (x[0] + r, x[1] + star(n, r), x[2] + prob(g[1:-1], g[-1]))
+    return p, prob, c, total
+
+
+@pytest.mark.parametrize(("share", "bucket", "order", "chunk"), [(500_000, 1_000_000, 3, 1 << 20), (4, 700, 3, 5000), (3, 900, 2, 5000), (9, 5000, 4, 30_000)])
+def test_katz(spark, docs, rows, share, bucket, order, chunk, monkeypatch):
+    monkeypatch.setattr(katz, "SHARE", share)
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    from pyspark.sql import functions as F
 
+    got = katz.score_documents(docs, F.col("doc_id") % 3 != 0, order=order, chunk_bytes=chunk).collect()
+    p, prob, c, total = brute_katz([t for k, t in rows if k is not None and k % 3], order)
     assert len(got) == len(rows)
     text = dict(rows)
+    histories = set()
     for r in got:
-        s = [b"^", *words(text[r.doc_id]), b"$"]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(c[x] > 0 for x in s[1:]), total)
-        assert r.base_score == pytest.approx(sum(math.log10(p(x)) for x in s[1:]), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(prob(h, w)) for h, w in zip(s, s[1:], strict=False)), rel=1e-9)
-    for h in [b"^", b"one", *list(after)[:20]]:
+        s = [b"^"] * (order - 1) + words(text[r.doc_id]) + [b"$"]
+        own = range(order - 1, len(s))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[s[i]] > 0 for i in own), total)
+        assert r.base_score == pytest.approx(sum(math.log10(p(s[i])) for i in own), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(prob(tuple(s[i - order + 1 : i]), s[i])) for i in own), rel=1e-9)
+        histories.add(tuple(s[:order - 1]))
+        histories.add(tuple(s[-order:-1]))
+    for h in histories:
         assert sum(prob(h, w) for w in c) + prob(h, None) == pytest.approx(1)
 
 
+def test_katz_model(spark, docs, rows):
+    """A fitted model scores another corpus."""
+    from pyspark.sql import functions as F
+
+    with Scratch(spark) as keep:
+        model = katz.fit(docs.where(F.col("doc_id") % 3 != 0), keep)
+        assert [t.count() > 0 for t in model.tables] == [True, True]
+        other = katz.score(docs.where(F.col("doc_id") % 3 == 0), model).collect()
+    together = {r.doc_id: r for r in katz.score_documents(docs, F.col("doc_id") % 3 != 0).collect()}
+    assert len(other) == sum(k is not None and k % 3 == 0 for k, _ in rows)
+    for r in other:
+        want = together[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want.n_tokens, want.n_known, want.train_tokens)
+        assert (r.base_score, r.score) == (pytest.approx(want.base_score), pytest.approx(want.score))
+
+
+def test_katz_long_text():
+    data = np.frombuffer((" ".join(prose(3000)) + "x" * 5000 + " end").encode(), np.uint8)
+    offsets = np.array([0, 7000, 7000, len(data)])
+    a, b = katz._hashes(data, offsets), katz._hashes(data, offsets, 100)
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
 def test_quality_rules(docs, rows):
     got = quality_rules.quality_rules(docs).collect()
     assert len(got) == len(rows)

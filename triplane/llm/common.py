@@ -177,13 +177,44 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)  # a plan made here: the setting is read when one is made
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same cut for a large table: written as compressed Parquet to the shared folder (a checkpoint isn't
-    compressed). The cluster's cleaner of that folder removes it; nothing here knows when its last reader is done."""
-    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def stored(df: DataFrame, *partition_by: str, folder: str | None = None) -> DataFrame:
+    """The same cut for a large table: written as compressed Parquet to the shared folder (a checkpoint isn't compressed)."""
+    folder = folder or f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(*df.columns)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables in the shared folder that are removed when the block ends, or before; what a block returns must be cut."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def folder(self) -> str:
+        """A new folder that goes with the others."""
+        self.folders.append(f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}")
+        return self.folders[-1]
+
+    def stored(self, df: DataFrame, *partition_by: str) -> DataFrame:
+        self.tables.append((stored(df, *partition_by, folder=self.folder()), self.folders[-1]))
+        return self.tables[-1][0]
+
+    def drop(self, df: DataFrame) -> None:
+        removed(self.spark, next(folder for table, folder in self.tables if table is df))
+
+    def __exit__(self, *_: object) -> None:
+        for folder in self.folders:
+            removed(self.spark, folder)
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,42 +1,49 @@
-"""Katz backoff language model: Good-Turing discounted bigram counts, backoff weights normalised exactly.
+"""Katz backoff language model: Good-Turing discounted n-gram counts, backoff weights normalised exactly, in tables
+partitioned by history and evaluated recursively for each token.
 
-The model lies in tables partitioned by word and by history. Documents are dealt into units of bounded size. A
-unit asks for what it needs once: the counts of its words, then, a row for each history (and, for a frequent
-history, for each share of its followers, so no history is a large group), the counts of its distinct followers
-with the sums that the history's backoff weight needs. With the answers a unit evaluates its documents token by
-token: the discounted bigram if it was seen in training, else the weight of the history times the unigram.
+    P(w)   = (c(w) + 0.1) / (N + 0.1 (V + 1))            V words and one for all unknown ones
+    P(w|h) = g(h) d(r) r / C(h)   if r = c(h w) > 0,     else a(h) P(w|h'), h' being h without its first word
+    a(h)   = (1 - sum of P(w|h) over seen w) / (1 - sum of P(w|h') over seen w)
 
-    p(w)   = (c(w) + 0.1) / (N + 0.1 (V + 1))            V words and one for all unknown ones
-    P(w|h) = g(h) d(r) r / C(h)   if r = c(h w) > 0,     else a(h) p(w)
-    a(h)   = (1 - sum of P(w|h) over seen w) / (1 - sum of p(w) over seen w)
-
-d(r) is Katz's Good-Turing discount for r up to 5. g(h) is 1 unless a history leaves less than
+d(r) is Katz's Good-Turing discount of the order for r up to 5. g(h) is 1 unless a history leaves less than
 1 / (C + 1) to unseen words; then it makes them just that much. A history unseen in training has a = 1.
+
+1. Texts become chunks of bounded size, each with its own dictionary; nothing is dealt by key. The words of all
+   dictionaries are counted and numbered, frequent ones low, and each chunk learns its words' numbers and counts.
+2. Order by order a chunk sends its distinct n-grams, with their training counts, to the buckets of their
+   histories. A bucket adds up the counts, which are the model's table of that order, and answers each chunk with
+   the counts of its n-grams and what discounts and backoff weights need of their histories. A history too
+   frequent for a bucket has its followers dealt into shares; sums over its shares are joined back.
+3. With the answers of an order a chunk knows which histories of the next were seen, and in the end every token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, from_varints, packed, stored, unpacked, utf8, varints
+from .common import MULTIPLIERS, SPACE, U64, Scratch, Words, arrow_map, chunks, cut, from_varints, mix, packed, unpacked, utf8, varints
 
 K = 5
 ADD = 0.1
-BEGIN, END = U64(MULTIPLIERS[60]), U64(MULTIPLIERS[61])
+#: Numbers of the beginning and the end of a text; words follow. A word that training lacks has UNKNOWN.
+BEGIN, END, FIRST, UNKNOWN = 0, 1, 2, -1
 #: Occurrences of a history in training for which its followers are dealt into one more share.
-SHARE = 50_000
+SHARE = 500_000
+#: Training tokens for which there is one more bucket.
+BUCKET = 1_000_000
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d(0..K) from the numbers n[r] of bigrams seen r times. Where these give no discount between 0 and 1 (too few
-    bigrams), it is r / (r + 1/2)."""
+    """d(0..K) from the numbers n[r] of n-grams seen r times. Where these give no discount between 0 and 1 (too few
+    n-grams), it is r / (r + 1/2)."""
     d = np.ones(K + 1)
     common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
     for r in range(1, K + 1):
@@ -46,111 +53,234 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def _dealt(docs: DataFrame, train: Column, units: int, unit_bytes: int, key: str, text: str) -> DataFrame:
-    """``unit, key, train, text, copies``: rows dealt by key and text, so rows of one key (or none) are spread. Equal rows
-    would all fall into one unit: where they fill more than a part of one, they are one row with a count. There
-    are at most a few such rows for each unit, known on the driver by the hash that deals."""
-    dealt = F.xxhash64(key, text)
-    rows = docs.select(dealt.alias("_dealt"), F.col(key), F.coalesce(train, F.lit(False)).alias("train"), F.col(text))
-    sizes = rows.groupBy("_dealt").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64).alias("b"), F.count(F.lit(1)).alias("n"))
-    many = [r[0] for r in sizes.where((F.col("b") * 8 > unit_bytes) & (F.col("n") > 1)).select("_dealt").collect()]
-    unit = F.pmod("_dealt", F.lit(units)).cast("int").alias("unit")
-    columns = [unit, F.col(key), F.col("train"), F.col(text)]
-    if not many:
-        return rows.select(*columns, F.lit(1).cast("long").alias("copies"))
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in many], "_dealt long"))
-    once = rows.join(listed, "_dealt").groupBy("_dealt", key, "train", text).agg(F.count(F.lit(1)).alias("copies"))
-    return rows.join(listed, "_dealt", "left_anti").select(*columns, F.lit(1).cast("long").alias("copies")).union(once.select(*columns, "copies"))
-
-
-def _units(rows: DataFrame, key: str) -> DataFrame:
-    """``unit, keys, train, sizes, copies, blob``: the documents of a unit in a batch, texts end to end as one zstandard frame."""
-    docs = rows
+def discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return r * np.where(r <= K, d[np.minimum(r, K)], 1.0)
+
+
+# Chunks
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, size: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts end to end, words of each text. A long text is cut at spaces, so no pass is large."""
+    edges, of = [0], []
+    for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while b - a > size:
+            gap = np.flatnonzero(SPACE[data[a + size : min(a + 2 * size, b)]])
+            if not len(gap):
+                break
+            a += size + int(gap[0])
+            edges.append(a)
+            of.append(d)
+        edges.append(b)
+        of.append(d)
+    pieces = np.array(edges, np.int64)
+    hashes, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(pieces, size):
+        w = Words(data[pieces[i] : pieces[j]], pieces[i : j + 1] - pieces[i])
+        hashes.append(w.hash)
+        counts.append(np.diff(w.at))
+    n = np.bincount(np.array(of, np.int64), weights=np.concatenate(counts), minlength=len(offsets) - 1).astype(np.int64)
+    return np.concatenate(hashes), n
+
+
+def chunk_table(docs: DataFrame, train: Column, chunk_bytes: int, key: str, text: str) -> DataFrame:
+    """``chunk, keys, train, n, words, taught, stream``: the documents of a chunk, its distinct words (hashes, frequent
+    ones first) with their training counts, and the texts as places in that list. A chunk is named by the task that
+    reads it, so the table has to be stored before it is read twice."""
     kind = docs.schema[key].dataType.simpleString()
+    names = ["chunk", "keys", "train", "n", "words", "taught", "stream"]
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        press = zstandard.ZstdCompressor(level=3)
-        unit = batch.column(0).to_numpy()
-        out = []
-        for u in np.unique(unit).tolist():
-            own = batch.filter(pa.array(unit == u))
-            data, offsets = utf8(own.column(3))
-            out.append((u, own.column(1), own.column(2), np.diff(offsets), own.column(4), press.compress(data.tobytes())))
-        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.concat_arrays(parts))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for i, j in chunks(offsets, chunk_bytes):
+                h, n = _hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                word, place, count = np.unique(h, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")
+                rank = np.empty(len(word), np.uint32)
+                rank[order] = np.arange(len(word))
+                stream = rank[place]
+                own = batch.slice(i, j - i)
+                flags = own.column(1).to_numpy(zero_copy_only=False)
+                taught = np.bincount(stream, weights=np.repeat(flags, n), minlength=len(word)).astype(np.int64)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                blobs = [pa.array([packed(x)], pa.binary()) for x in (word[order], taught, stream)]
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), one(own.column(0)), one(own.column(1)), one(pa.array(n)), *blobs], names)
+                name += 1
+
+    rows = docs.select(F.col(key), F.coalesce(train, F.lit(False)).alias("train"), F.col(text))
+    return rows.mapInArrow(each, f"chunk long, keys array<{kind}>, train array<boolean>, n array<long>, words binary, taught binary, stream binary")
+
+
+def dictionary(chunk: DataFrame) -> DataFrame:
+    """``chunk, place, word, c``: the words of all chunks."""
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [unpacked(x, U64) for x in batch.column(1).to_pylist()]
+        taught = [unpacked(x, np.int64) for x in batch.column(2).to_pylist()]
+        size = [len(w) for w in words]
         return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int32()), lists([x[1] for x in out]), lists([x[2] for x in out]), lists([pa.array(x[3]) for x in out]), lists([x[4] for x in out]), pa.array([x[5] for x in out], pa.binary())],
-            ["unit", "keys", "train", "sizes", "copies", "blob"],
+            [pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in size])), pa.array(np.concatenate(words).view(np.int64)), pa.array(np.concatenate(taught))],
+            ["chunk", "place", "word", "c"],
         )
 
-    return arrow_map(rows, each, f"unit int, keys array<{kind}>, train array<boolean>, sizes array<long>, copies array<long>, blob binary")
+    return arrow_map(chunk.select("chunk", "words", "taught"), listed, "chunk long, place int, word long, c long")
+
 
+def vocabulary(words: DataFrame, keep: Scratch) -> tuple[DataFrame, int, int]:
+    """(``word, id, count`` of the words seen in training, their occurrences, their number). A number is made of the
+    place by count within a partition and the partition, so frequent words have low ones and no order of all is needed."""
+    counted = words.groupBy("word").agg(F.sum("c").alias("count")).where("count > 0").sortWithinPartitions(F.desc("count"), "word")
+    at = F.monotonically_increasing_id()
+    counted = keep.stored(counted.select("word", "count", at.alias("at")))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sums = counted.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"), F.max(part).alias("parts")).first()
+    return counted.select("word", "count", (place * ((sums.parts or 0) + 1) + part + FIRST).alias("id")), sums.n or 0, sums.v
 
-def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts end to end, words of each text."""
-    found = [Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets)]
-    if not found:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate([w.hash for w in found]), np.concatenate([np.diff(w.at) for w in found])
 
+def unit_table(chunk: DataFrame, words: DataFrame, known: DataFrame) -> DataFrame:
+    """``chunk, keys, train, n, stream, ids, counts``: chunks with the numbers and training counts of their words."""
 
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values in order and how often each is there."""
-    values = np.sort(values)
-    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[start], np.diff(np.append(start, len(values)))
+    def gathered(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        ids, counts = (t.column(c).to_numpy() for c in ("id", "count"))
+        return pa.table({"chunk": t.column("chunk")[:1], "ids": pa.array([packed(ids)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary())})
 
+    looked_up = words.select("chunk", "place", "word").join(known, "word", "left")
+    looked_up = looked_up.select("chunk", "place", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("count", F.lit(0)).alias("count"))
+    numbered = looked_up.groupBy("chunk").applyInArrow(gathered, "chunk long, ids binary, counts binary")
+    return chunk.select("chunk", "keys", "train", "n", "stream").join(numbered, "chunk", "left")
 
-class Tokens:
-    """The words of a unit's documents, and its distinct (history, token) pairs in order (history, share, token)."""
 
-    def __init__(self, table: pa.Table) -> None:
-        table = table.combine_chunks()
-        self.keys, train, sizes, self.copies = (pc.list_flatten(table.column(c)) for c in ("keys", "train", "sizes", "copies"))
-        train, copies = train.to_numpy(), self.copies.to_numpy()
-        if len(copies) and copies.max() > 1:
-            train = train * copies
-        raw = [zstandard.ZstdDecompressor().decompress(x) for x in table.column("blob").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
-        self.words, n = _hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
+# N-grams of a chunk
+
+
+class Unit:
+    """A chunk's tokens as places in its dictionary, and n-gram by n-gram what is known of them."""
+
+    def __init__(self, row: dict, ends: int) -> None:
+        self.keys, train, n = row["keys"].values, row["train"].values.to_numpy(zero_copy_only=False), row["n"].values.to_numpy()
+        blob = lambda c, kind: unpacked(row[c].as_py(), kind) if row[c].is_valid else np.zeros(0, kind)
+        stream, ids, counts = blob("stream", np.uint32).astype(np.int64), blob("ids", np.int64), blob("counts", np.int64)
+        self.size, self.begin = len(ids) + 2, len(ids)
+        self.id = np.concatenate([ids, [BEGIN, END]])
+        self.count = np.concatenate([counts, [ends, ends]])
+        self.by_id = np.empty(self.size, np.int64)
+        self.by_id[np.argsort(self.id, kind="stable")] = np.arange(self.size)
         self.n = n + 1
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        self.train = np.repeat(train, self.n)
-
-    def pairs(self, vocabulary: np.ndarray, shares: np.ndarray) -> None:
-        """Sort the pairs. ``vocabulary``: words, beginning and end in order; a pair's ``h`` and ``w`` are places in it.
-        ``shares``: into how many parts the followers of each go."""
-        begin, end = np.searchsorted(vocabulary, np.array([BEGIN, END], U64)).astype(U64)
-        place = np.searchsorted(vocabulary, self.words).astype(U64)
-        token, history = np.empty(self.at[-1], U64), np.empty(self.at[-1], U64)
+        self.token = np.full(self.at[-1], self.begin + 1)
         inner = np.ones(self.at[-1], bool)
         inner[self.at[1:] - 1] = False
-        token[inner], token[~inner] = place, end
-        inner[:] = True
-        inner[self.at[:-1]] = False
-        history[inner], history[~inner] = place, begin
-        parts = shares.astype(U64)
-        share = (vocabulary[token] >> U64(33)) % parts[history]
-        low, mid = len(vocabulary).bit_length(), int(shares.max()).bit_length()
-        if 2 * low + mid <= 64:  # a pair is one number
-            key = (history << U64(low + mid)) | (share << U64(low)) | token
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.token[inner] = stream
+        self.train = np.repeat(train, self.n)
+
+
+class Level:
+    """The distinct n-grams of a unit: ``node`` of each token; of each node its history (``of``), last word and training
+    count; of each history its words' numbers, the latest first, and its own history one word shorter."""
+
+    def __init__(self, unit: Unit, lower: Level | None) -> None:
+        self.unit, self.lower = unit, lower
+        self.order = lower.order + 1 if lower else 2
+        before = lower.node if lower else unit.token
+        self.none = lower.n if lower else unit.begin
+        history = np.empty(len(before), np.int64)
+        history[1:] = before[:-1]
+        history[unit.at[:-1]] = self.none
+        pair, self.node = np.unique(history * unit.size + unit.token, return_inverse=True)
+        self.of, self.word = pair // unit.size, pair % unit.size
+        self.n = len(pair)
+        self.taught = np.bincount(self.node, weights=unit.train, minlength=self.n).astype(np.int64)
+        if lower:
+            self.ids = [np.append(x, BEGIN) for x in (unit.id[lower.word], *(h[lower.of] for h in lower.ids))]
+            self.shorter = np.empty(lower.n + 1, np.int64)
+            self.shorter[lower.node] = lower.lower.node if lower.lower else unit.token
+            self.shorter[lower.n] = lower.none
+            self.history_count = np.append(lower.c, unit.count[unit.begin])
+            self.low = np.empty(self.n, np.int64)
+            self.low[self.node] = lower.c[lower.node]
         else:
-            order = np.lexsort((token, share, history))
-            h, w = history[order], token[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-        self.start = np.flatnonzero(new)
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-        self.n_train = np.add.reduceat(self.train[order].astype(np.int64), self.start)
-        first = order[self.start]
-        self.h, self.share, self.w = history[first].view(np.int64), share[first].astype(np.int32), token[first].view(np.int64)
+            self.ids, self.shorter, self.history_count, self.low = [unit.id], None, unit.count, unit.count[self.word]
+
+    def ask(self, buckets: int) -> None:
+        """Put what is asked for in the order of buckets, histories and words. Not asked for: histories without
+        training, and n-grams whose shorter n-gram training lacks."""
+        unit, histories = self.unit, len(self.ids[0])
+        alive = self.history_count > 0
+        for x in self.ids:
+            alive &= x != UNKNOWN
+        shares = np.maximum(1, -(-self.history_count // SHARE))
+        base = np.zeros(histories, U64)
+        for x, m in zip(self.ids, MULTIPLIERS, strict=False):
+            base = mix(base * MULTIPLIERS[63] + x.astype(U64) * m)
+        bucket = lambda h, share: (mix(base[h] + share.astype(U64) * MULTIPLIERS[62]) % U64(buckets)).astype(np.int64)
+        used = np.zeros(histories, bool)
+        used[self.of] = True
+        nodes = np.flatnonzero(alive[self.of] & (self.low > 0))
+        h = self.of[nodes]
+        share = np.where(shares[h] > 1, mix(unit.id[self.word[nodes]].astype(U64) ^ MULTIPLIERS[61]) % shares[h].astype(U64), U64(0))
+        lacks = np.zeros(histories, bool)
+        lacks[self.of[(self.low == 0)]] = True
+        # a history's sums come from the bucket of its first share
+        home = np.flatnonzero(alive & used & (lacks | (shares > 1)))
+        places = np.lexsort(self.ids[::-1])
+        rank = np.empty(histories, np.int64)
+        rank[places] = np.arange(histories)
+        b = np.concatenate([bucket(h, share), bucket(home, np.zeros(len(home)))])
+        r = rank[np.concatenate([h, home])]
+        w = np.concatenate([unit.by_id[self.word[nodes]] + 1, np.zeros(len(home), np.int64)])
+        if (buckets.bit_length() + histories.bit_length() + unit.size.bit_length()) < 63:
+            order = np.argsort((b * histories + r) * (unit.size + 1) + w)
+        else:
+            order = np.lexsort((w, r, b))
+        b, r, w = b[order], r[order], w[order]
+        head = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1])])) if len(b) else np.zeros(0, np.int64)
+        entry = w > 0
+        self.nodes = np.concatenate([nodes, np.full(len(home), -1)])[order][entry]
+        self.records = places[r[head]]
+        self.length = np.add.reduceat(entry.astype(np.int64), head) if len(head) else head
+        self.bucket = b[head]
+        self.flags = 2 * shares[self.records] + lacks[self.records]
+        self.shares = shares
+
+    def requests(self, name: int, wave: tuple[int, int]) -> pa.Table:
+        """A row for each bucket of the wave."""
+        first = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
+        ids = [x[self.records] for x in self.ids]
+        word, low = self.unit.id[self.word[self.nodes]], self.low[self.nodes]
+        table = _rows(self.bucket[first], np.append(first, len(self.bucket)), ids, self.length, word, self.taught[self.nodes], low, self.flags)
+        table = table.append_column("chunk", pa.array(np.full(len(first), name), pa.int64()))
+        return table.filter(pc.equal(pa.array(self.bucket[first] % wave[1]), wave[0])).select(REQUEST_NAMES)
+
+    def answered(self, rows: pa.Table) -> None:
+        """Take in the answers: ``c`` of each node; of each history C, the discounted sum and the sum of lower weights."""
+        t = rows.filter(pc.equal(rows.column("kind"), 0)).sort_by("bucket")
+        self.c = np.zeros(self.n, np.int64)
+        self.c[self.nodes] = from_varints(utf8(t.column("c"))[0])
+        histories = len(self.ids[0])
+        self.stats = np.zeros((histories, K + 1), np.int64)
+        self.lows = np.zeros(histories)
+        np.add.at(self.stats, self.records, from_varints(utf8(t.column("stats"))[0]).reshape(-1, K + 1))
+        np.add.at(self.lows, self.records, utf8(t.column("low"))[0].view(np.float64))
+        whole = rows.filter(pc.equal(rows.column("kind"), 5))
+        if whole.num_rows:
+            place = {h: i for i, h in enumerate(zip(*(x.tolist() for x in self.ids), strict=True)) if self.shares[i] > 1}
+            for h, stats, low in zip(whole.column("h").to_pylist(), whole.column("sums").to_pylist(), whole.column("low_sum").to_pylist(), strict=True):
+                i = place[tuple(h)]
+                self.stats[i], self.lows[i] = stats, low
+
+
+REQUEST = "chunk long, bucket int, histories int, ctx binary, w binary, n binary, lc binary, flags binary"
+REQUEST_NAMES = ["chunk", "bucket", "histories", "ctx", "w", "n", "lc", "flags"]
+#: kind 0: answers to a chunk; 1: how many n-grams were seen how often; 2: the model; 3: sums of a share; 4: a chunk that needs them; 5: the whole sums
+ANSWER = "kind int, chunk long, bucket int, histories int, ctx binary, w binary, n binary, lc binary, flags binary, c binary, stats binary, low binary, h array<long>, sums array<long>, low_sum double"
 
 
 def _runs(data: np.ndarray, at: np.ndarray) -> pa.Array:
     """Runs of bytes as binaries."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
 
 
 def _varint_runs(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -159,223 +289,262 @@ def _varint_runs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return _runs(data, np.concatenate([[0], np.cumsum(size)])[at])
 
 
-#: Followers of a share are told apart by 6 bytes of their hash (a share has some 50,000 occurrences).
-SHORT = 6
-REQUEST = "h long, share int, unit int, w binary, counts binary"
-STATS = K + 3  # types seen 1..K times, types, tokens of types seen more often, sum of the followers' counts
-ANSWER = "unit int, h long, share int, r binary, stats binary, hist array<long>"
+def _steps(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Differences from the value before, whole values at the heads."""
+    out = np.diff(values, prepend=0)
+    out[heads] = values[heads]
+    return out
 
 
-def _vocabulary(words: pa.Table, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a unit in order with their training counts; the beginning and the end are among them."""
-    word = [np.cumsum(unpacked(x, U64), dtype=U64) for x in words.column("words").to_pylist()]
-    count = [unpacked(x, np.int64) for x in words.column("counts").to_pylist()]
-    word, place = np.unique(np.concatenate([*word, np.array([BEGIN, END], U64)]), return_index=True)
-    return word, np.concatenate([*count, np.array([ends, ends])])[place]
+def _summed(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The inverse of _steps for runs of the sizes."""
+    total = np.concatenate([[0], np.cumsum(steps)])
+    return total[1:] - np.repeat(total[np.cumsum(size) - size], size)
 
 
-def requests(units: DataFrame, vocabulary: DataFrame, ends: int) -> DataFrame:
-    """A row for each history (and share of its followers) of a unit: followers, training counts, follower counts."""
+def _rows(bucket: np.ndarray, at: np.ndarray, ids: list[np.ndarray], length: np.ndarray, word: np.ndarray, n: np.ndarray, low: np.ndarray, flags: np.ndarray) -> pa.Table:
+    """Records (a history, its followers) as varints, records ``at[i]`` to ``at[i + 1]`` in row i."""
+    place = np.concatenate([[0], np.cumsum(length)])
+    ctx = np.column_stack([_steps(ids[0], at[:-1]), *ids[1:], length])
+    entries = place[at]
+    return pa.table({
+        "bucket": pa.array(bucket, pa.int32()), "histories": pa.array(np.diff(at), pa.int32()), "ctx": _varint_runs(ctx.ravel(), at * ctx.shape[1]),
+        "w": _varint_runs(_steps(word, place[:-1][length > 0]), entries), "n": _varint_runs(n, entries), "lc": _varint_runs(low, entries), "flags": _varint_runs(flags, at),
+    })
 
-    def ask(documents: pa.Table, words: pa.Table) -> pa.Table:
-        kinds = (("h", pa.int64()), ("share", pa.int32()), ("unit", pa.int32()), ("w", pa.binary()), ("counts", pa.binary()))
-        if not documents.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in kinds})
-        t = Tokens(documents)
-        unit = documents.column("unit")[0].as_py()
-        word, count = _vocabulary(words, ends)
-        shares = np.maximum(1, 2 ** np.ceil(np.log2(np.maximum(count, 1) / SHARE))).astype(np.int64)
-        t.pairs(word, shares)
-        c = count[t.w]
-        head = np.flatnonzero(np.concatenate([[True], (t.h[1:] != t.h[:-1]) | (t.share[1:] != t.share[:-1])]))
-        at = np.concatenate([head, [len(t.h)]])
-        place, share = t.h[head], t.share[head]
-        h = word[place]
-        short = np.ascontiguousarray(word[t.w].view(np.uint8).reshape(-1, 8)[:, :SHORT])
-        counts = _varint_runs(np.column_stack([t.n_train, c]).ravel(), 2 * at)
-        # every share of a frequent history is asked for, so that its sums come back whole
-        many = shares[place] > 1
-        have = set(zip(h[many].tolist(), share[many].tolist(), strict=True))
-        lacking = [(int(word[x]), s) for x in np.unique(place[many]).tolist() for s in range(int(shares[x])) if (int(word[x]), s) not in have]
-        columns = {
-            "h": np.concatenate([h, np.array([x for x, _ in lacking], U64)]).view(np.int64), "share": np.concatenate([share, np.array([s for _, s in lacking], np.int32)]),
-            "unit": np.full(len(h) + len(lacking), unit, np.int32), "w": pa.concat_arrays([_runs(short, at * SHORT), pa.array([b""] * len(lacking), pa.binary())]),
-            "counts": pa.concat_arrays([counts, pa.array([b""] * len(lacking), pa.binary())]),
-        }
-        return pa.table({k: pa.array(columns[k], x) if isinstance(columns[k], np.ndarray) else columns[k] for k, x in kinds})
-
-    return units.groupBy("unit").cogroup(vocabulary.groupBy("unit")).applyInArrow(ask, REQUEST)
-
-
-def answers(asked: DataFrame, rows: int = 50_000) -> DataFrame:
-    """For each request the total training counts of its followers and the sums of its history's share; and, once
-    for each distinct bigram, its place in the histogram of counts (unit -1)."""
-    dealt = asked.repartition("h", "share").sortWithinPartitions("h", "share")
-
-    def answered(t: pa.Table) -> Iterator[pa.RecordBatch]:
+
+def _bucket(order: int, weigh, model: bool):
+    """The function of a bucket's requests (the rows of a model count as requests): answers, and the model's row."""
+
+    def f(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        h, share = t.column("h").to_numpy(), t.column("share").to_numpy()
-        group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (share[1:] != share[:-1])]))
-        data, at = utf8(t.column("w"))
-        at = at // SHORT
-        w = np.zeros((len(data) // SHORT, 8), np.uint8)
-        w[:, :SHORT] = data.reshape(-1, SHORT)
-        w = w.view(U64).ravel()
-        n, c = from_varints(utf8(t.column("counts"))[0]).reshape(-1, 2).T
-        of = np.repeat(group, np.diff(at))
-        stats = np.zeros((group[-1] + 1, STATS), np.int64)
-        total = np.zeros(len(w), np.int64)
-        hist = np.zeros(K + 2, np.int64)
-        if len(w):
-            if group[-1] < 1 << 8 * (8 - SHORT):  # share and follower are one number
-                pair = of.astype(U64) << U64(8 * SHORT) | w
-                order = np.argsort(pair)
-                pair = pair[order]
-                new = np.concatenate([[True], pair[1:] != pair[:-1]])
-            else:
-                order = np.lexsort((w, of))
-                new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])])
-            start = np.flatnonzero(new)
-            r = np.add.reduceat(n[order], start)
-            total[order] = r[np.cumsum(new) - 1]
-            seen = r > 0
-            r, g, cw = r[seen], of[order][start][seen], c[order][start][seen]
-            few = r <= K
-            np.add.at(stats, (g[few], r[few] - 1), 1)
-            np.add.at(stats[:, K], g, 1)
-            np.add.at(stats[:, K + 1], g[~few], r[~few])
-            np.add.at(stats[:, K + 2], g, cw)
-            hist += np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2] * (np.arange(K + 2) > 0)
-        count = t.num_rows
-        hists = pa.ListArray.from_arrays(pa.array(np.zeros(count + 1), pa.int32()), pa.array([], pa.int64()))
-        width = np.arange(count + 1) * STATS
-        yield pa.RecordBatch.from_arrays([t.column("unit").chunk(0), t.column("h").chunk(0), t.column("share").chunk(0), _varint_runs(total, at), _varint_runs(stats[group].ravel(), width), hists], ["unit", "h", "share", "r", "stats", "hist"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([hist.tolist()], pa.list_(pa.int64()))],
-            ["unit", "h", "share", "r", "stats", "hist"],
-        )
+        numbers = lambda c: from_varints(utf8(t.column(c))[0])
+        size = t.column("histories").to_numpy().astype(np.int64)
+        ctx = numbers("ctx").reshape(-1, order)
+        ids, length = [_summed(ctx[:, 0], size), *(ctx[:, i] for i in range(1, order - 1))], ctx[:, -1]
+        row = np.repeat(np.arange(len(size)), size)
+        word, n, low, flags = _summed(numbers("w"), length), numbers("n"), numbers("lc"), numbers("flags")
+        history = ids[0]
+        for x in ids[1:]:
+            history = np.unique(history, return_inverse=True)[1] * (int(x.max(initial=0)) + 1) + x
+        known, of = np.unique(history, return_inverse=True)
+        record = np.repeat(np.arange(len(length)), length)
+        entry = of[record]
+        pair, first, place = np.unique(entry * (int(word.max(initial=0)) + 1) + word, return_index=True, return_inverse=True)
+        c = np.bincount(place, weights=n, minlength=len(pair)).astype(np.int64)
+        seen = np.flatnonzero(c > 0)
+        cs, hs = c[seen], entry[first[seen]]
+        stats = np.zeros((len(known), K + 1), np.int64)
+        few = cs <= K
+        np.add.at(stats, (hs[few], cs[few] - 1), 1)
+        stats[:, K] = np.bincount(hs[~few], weights=cs[~few], minlength=len(known))
+        lows = np.bincount(hs, weights=weigh(low[first[seen]]), minlength=len(known))
+        split = flags >= 4
+        found = c[place]
+        misses = np.bincount(record, weights=found == 0, minlength=len(length)) > 0
+        given = np.where(split[:, None], 0, stats[of])
+        low_given = np.where(~split & (misses | (flags & 1 > 0)), lows[of], 0.0)
+        at = np.concatenate([[0], np.cumsum(size)])
+        bucket = t.column("bucket")[0].as_py()
+        entries = np.concatenate([[0], np.cumsum(length)])[at]
+        asked = pa.table({
+            "chunk": t.column("chunk"), "bucket": t.column("bucket"),
+            "c": _varint_runs(found, entries), "stats": _varint_runs(given.ravel(), at * (K + 1)), "low": _runs(low_given.view(np.uint8), at * 8),
+        })
+        asked = asked.filter(pc.greater_equal(asked.column("chunk"), 0))
+        parts = [asked.append_column("kind", pa.array(np.zeros(asked.num_rows), pa.int32()))]
+        hist = np.bincount(np.minimum(cs, K + 2), minlength=K + 3)[: K + 2]
+        parts.append(pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "sums": pa.array([hist.tolist()], pa.list_(pa.int64()))}))
+        if model and len(seen):  # the pairs are in the order of histories and words
+            head = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+            of_head = record[first[seen[head]]]
+            counts = np.diff(np.append(head, len(hs)))
+            table = _rows(np.array([bucket]), np.array([0, len(head)]), [x[of_head] for x in ids], counts, word[first[seen]], cs, low[first[seen]], flags[of_head] & ~1)
+            parts.append(table.append_column("kind", pa.array([2], pa.int32())).append_column("chunk", pa.array([-1], pa.int64())))
+        if split.any():
+            own = np.unique(of[split], return_index=True)[1]
+            some = np.flatnonzero(split)[own]
+            h = lambda at: pa.array(np.column_stack([x[at] for x in ids]).tolist(), pa.list_(pa.int64()))
+            parts.append(pa.table({"kind": pa.array(np.full(len(some), 3), pa.int32()), "h": h(some), "sums": pa.array(stats[of[some]].tolist(), pa.list_(pa.int64())), "low_sum": pa.array(lows[of[some]])}))
+            asker = t.column("chunk").to_numpy()[row]
+            need = np.flatnonzero(split & (asker >= 0))
+            parts.append(pa.table({"kind": pa.array(np.full(len(need), 4), pa.int32()), "chunk": pa.array(asker[need]), "h": h(need)}))
+        out = pa.concat_tables(parts, promote_options="permissive")
+        columns = [out.column(k).cast(kind) if k in out.column_names else pa.nulls(out.num_rows, kind) for k, kind in zip(ANSWER_SCHEMA.names, ANSWER_SCHEMA.types, strict=True)]
+        return pa.table(columns, ANSWER_SCHEMA.names)
+
+    return f
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "double": pa.float64()}
+ANSWER_SCHEMA = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in ANSWER.split(", ")])
+REPLY = ["order", "kind", "chunk", "bucket", "c", "stats", "low", "h", "sums", "low_sum"]
+
+
+# Levels over all chunks
+
+
+@dataclass
+class Model:
+    """``vocabulary(word, id, count)`` and for each order from 2 on ``tables[order - 2]``: n-gram counts by bucket of the
+    history, packed; ``d``: the discounts of each order. ``total``, ``kinds``, ``ends``: training tokens, distinct ones, texts."""
+
+    vocabulary: DataFrame
+    tables: list[DataFrame]
+    d: list[np.ndarray]
+    total: int
+    kinds: int
+    ends: int
+    buckets: int
+
+    @property
+    def whole(self) -> float:
+        return self.total + ADD * (self.kinds + 1)
+
+    def plain(self) -> Model:
+        """Without tables, for tasks."""
+        return Model(None, [], list(self.d), self.total, self.kinds, self.ends, self.buckets)
+
+
+def _levels(row: dict, replies: pa.Table | None, m: Model, upto: int, answered: int) -> tuple[Unit, list[Level]]:
+    """The unit's levels up to an order, with the answers up to another."""
+    unit, levels = Unit(row, m.ends), []
+    for order in range(2, upto + 1):
+        levels.append(Level(unit, levels[-1] if levels else None))
+        levels[-1].ask(m.buckets)
+        if order <= answered:
+            levels[-1].answered(replies.filter(pc.equal(replies.column("order"), order)))
+    return unit, levels
+
+
+def _first_row(t: pa.Table) -> dict:
+    t = t.combine_chunks()
+    return {c: t.column(c)[0] for c in t.column_names}
+
+
+def _ask(units: DataFrame, replies: DataFrame | None, m: Model, order: int, wave: tuple[int, int]) -> DataFrame:
+    """Requests of all chunks for n-grams of an order."""
+    m = m.plain()
+    empty = pa.table({k: pa.array([], x) for k, x in zip(REQUEST_NAMES, [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True)})
+
+    def asked(row: dict, got: pa.Table | None) -> pa.Table:
+        _, levels = _levels(row, got, m, order, order - 1)
+        return levels[-1].requests(row["chunk"].as_py(), wave)
+
+    if replies is None:
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from asked(_first_row(pa.Table.from_batches([batch.slice(i, 1)])), None).to_batches()
+
+        return units.mapInArrow(each, REQUEST)
+    return units.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda a, b: asked(_first_row(a), b) if a.num_rows else empty, REQUEST)
+
+
+def _answer(units: DataFrame, replies: DataFrame | None, m: Model, order: int, keep: Scratch, waves: int, given: DataFrame | None, model: bool) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(replies to chunks, the model's rows, numbers of n-grams seen 0..K+1 times) of an order. ``given``: rows of a model."""
+    lower = m.d[-1] if order > 2 else None
+    weigh = (lambda c: c + ADD) if order == 2 else (lambda c: discounted(c, lower))
+    f, tables = _bucket(order, weigh, model), []
+    for w in range(waves):
+        asked = _ask(units, replies, m, order, (w, waves))
+        if given is not None:
+            asked = asked.union(given.where(F.col("bucket") % waves == w).select(*REQUEST_NAMES))
+        tables.append(keep.stored(asked.groupBy("bucket").applyInArrow(f, ANSWER), "kind"))
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.union(t)
+    columns = [F.lit(order).alias("order") if c == "order" else F.col(c) for c in REPLY]
+    out = rows.where("kind = 0").select(*columns)
+    if rows.where("kind = 4").limit(1).count():
+        totals = rows.where("kind = 3").select("h", F.posexplode("sums"), "low_sum")
+        totals = totals.groupBy("h", "pos").agg(F.sum("col").alias("v"), F.sum("low_sum").alias("low_sum"))
+        totals = totals.groupBy("h").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x.v).alias("sums"), F.min("low_sum").alias("low_sum"))
+        wanted = rows.where("kind = 4").select("chunk", "h").distinct().join(totals, "h")
+        out = out.unionByName(wanted.select(F.lit(order).alias("order"), F.lit(5).alias("kind"), "chunk", "h", "sums", "low_sum"), allowMissingColumns=True)
+    hist = {r.pos: r.n for r in rows.where("kind = 1").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
+    return out, rows.where("kind = 2"), np.array([hist.get(i, 0) if i else 0 for i in range(K + 2)], float)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = size = 0
-        for batch in batches:
-            held.append(batch)
-            count, size = count + batch.num_rows, size + batch.nbytes
-            if count < rows and size < 64 << 20:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            h, share = table.column("h").to_numpy(), table.column("share").to_numpy()
-            last = len(h) - 1 - int(np.argmax(((h != h[-1]) | (share != share[-1]))[::-1])) + 1 if (h != h[-1]).any() or (share != share[-1]).any() else 0
-            if last:
-                yield from answered(table.slice(0, last))
-            held = table.slice(last).to_batches()
-            count, size = len(h) - last, sum(x.nbytes for x in held)
-        if count:
-            yield from answered(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(each, ANSWER)
-
-
-def scores(units: DataFrame, answer: DataFrame, d: np.ndarray, total: int, kinds: int, ends: int, key: str, kind: str) -> DataFrame:
+
+RESULT = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(units: DataFrame, replies: DataFrame, m: Model, order: int, key: str, kind: str) -> DataFrame:
     """``key, n_tokens, n_known, base_score, score`` of every document."""
-    whole = total + ADD * (kinds + 1)
-    schema = f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double, copies long"
+    m, names = m.plain(), [key, "n_tokens", "n_known", "base_score", "score"]
+
+    def logs(levels: list[Level], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token the log10 of P(w), and of P(w|h)."""
+        p = np.log10((unit.count[unit.token] + ADD) / m.whole)
+        base, norm = p, None
+        for level, d in zip(levels, m.d, strict=True):
+            many = np.arange(1, K + 1)
+            c = level.stats[:, :K] @ many + level.stats[:, K]
+            mass = (level.stats[:, :K] @ (many * d[1:]) + level.stats[:, K]) / np.maximum(c, 1)
+            scale = np.where(mass > c / (c + 1.0), c / (c + 1.0) / np.maximum(mass, 1e-300), 1.0)
+            under = level.lows / m.whole if norm is None else level.lows * norm[level.shorter]
+            backoff = np.where(c > 0, np.log10((1 - mass * scale) / np.maximum(1 - under, 1e-300)), 0.0)
+            norm = scale / np.maximum(c, 1)
+            with np.errstate(divide="ignore"):
+                own = np.log10(norm[level.of] * discounted(level.c, d))
+            p = np.where(level.c[level.node] > 0, own[level.node], backoff[level.of][level.node] + p)
+        return base, p
 
     def score(documents: pa.Table, got: pa.Table) -> pa.Table:
         if not documents.num_rows:
-            return pa.table({key: pa.array([], documents.schema.field("keys").type.value_type), **{k: pa.array([], x) for k, x in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("copies", pa.int64()))}})
-        t = Tokens(documents)
-        got = got.combine_chunks()
-        h, share = got.column("h").to_numpy().view(U64), got.column("share").to_numpy()
-        order = np.lexsort((share, h))
-        got = got.take(pa.array(order))
-        histories, start = np.unique(h[order], return_index=True)
-        stats = from_varints(utf8(got.column("stats"))[0]).reshape(-1, STATS)
-        stats = np.add.reduceat(stats, start)
-        # the end is no history, yet a token
-        end = int(np.searchsorted(histories, END))
-        stats = np.insert(stats, end, 0, axis=0)
-        t.pairs(np.insert(histories, end, END), np.insert(np.diff(np.concatenate([start, [len(h)]])), end, 1))
-        r = from_varints(utf8(got.column("r"))[0])
-        many = np.arange(1, K + 1)
-        c = (stats[:, :K] * many).sum(1) + stats[:, K + 1]
-        mass = ((stats[:, :K] * (many * d[1:])).sum(1) + stats[:, K + 1]) / np.maximum(c, 1)
-        scale = np.where(mass > c / (c + 1.0), c / (c + 1.0) / np.maximum(mass, 1e-300), 1.0)
-        backoff = np.where(c > 0, (1 - mass * scale) / (1 - (stats[:, K + 2] + ADD * stats[:, K]) / whole), 1.0)
-        at = t.h
-        c_token = c.copy()
-        c_token[end] = ends
-        cw = c_token[t.w]
-        p = (cw + ADD) / whole
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bigram = scale[at] * d[np.minimum(r, K + 1) % (K + 1)] * r / np.maximum(c[at], 1)
-        logs = np.log10(np.where(r > 0, bigram, backoff[at] * p))
-        add = lambda x: np.add.reduceat(x[t.of], t.at[:-1])
-        return pa.table({key: t.keys, "n_tokens": t.n, "n_known": add((cw > 0).astype(np.int64)), "base_score": add(np.log10(p)), "score": add(logs), "copies": t.copies})
-
-    scored = units.groupBy("unit").cogroup(answer.where("unit >= 0").groupBy("unit")).applyInArrow(score, schema)
-    # rows that were counted come back as many; in two steps, so no list of them is long
-    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 4096)))
-    parts = scored.withColumn("_part", part)
-    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("copies") - F.col("_part") * 4096)))).drop("_part", "_copy", "copies")
-
-
-def score_documents(docs: DataFrame, train: Column, unit_bytes: int = 20 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+            return pa.table({k: pa.array([], x) for k, x in zip(names, [documents.schema.field("keys").type.value_type, pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
+        unit, levels = _levels(_first_row(documents), got, m, order, order)
+        base, full = logs(levels, unit)
+        add = lambda x: np.add.reduceat(x, unit.at[:-1])
+        return pa.table([unit.keys, pa.array(unit.n), pa.array(add((unit.count[unit.token] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(full))], names)
+
+    return units.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"`{key}` {kind}, {RESULT}")
+
+
+def _run(docs: DataFrame, train: Column, known: Model | None, keep: Scratch, order: int, chunk_bytes: int, waves: int, model: bool, key: str, text: str, score: bool) -> tuple[DataFrame | None, Model]:
+    kind = docs.schema[key].dataType.simpleString()
+    chunk = keep.stored(chunk_table(docs, train, chunk_bytes, key, text))
+    words = dictionary(chunk)
+    if known:
+        m, vocabulary_table = Model(known.vocabulary, [], [], known.total, known.kinds, known.ends, known.buckets), known.vocabulary
+    else:
+        vocabulary_table, n, v = vocabulary(words, keep)
+        ends = chunk.agg(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
+        m = Model(vocabulary_table, [], [], n + ends, v + (ends > 0), ends, max(1, -(-(n + ends) // BUCKET)))
+    units = keep.stored(unit_table(chunk, words, vocabulary_table))
+    keep.drop(chunk)
+    replies = None
+    for i in range(2, order + 1):
+        got, table, hist = _answer(units, replies, m, i, keep, waves, known.tables[i - 2] if known else None, model)
+        m.d.append(known.d[i - 2] if known else discounts(hist))
+        m.tables.append(table)
+        replies = got if replies is None else replies.union(got)
+    return (_scored(units, replies, m, order, key, kind) if score else None), m
+
+
+def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score``: log10 probabilities under a model of the documents
     where ``train`` is true (null is false), for every row.
 
-    Tokens are the words and one end; a null or empty text is its end alone. A document's first history is its
+    Tokens are the words and one end; a null or empty text is its end alone. A document's first histories are its
     beginning. Without training documents every token has the unknown word's probability 1. Repeated rows
     count and are scored each; a null key stays null. Other columns aren't read. An empty table gives an empty one.
+    A task holds a chunk of ``chunk_bytes`` (or one longer text) or the n-grams of a bucket; ``waves``: in so many
+    turns the buckets are filled, which bounds the shuffled bytes on disk at a time. The tables are removed at the end.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    size = docs.select(F.sum(F.octet_length(text)).alias("b")).first().b or 0
-    n_units = max(1, -(-size // unit_bytes))
-    dealt = _dealt(docs, train, n_units, unit_bytes, key, text)
-    units = _units(dealt, key)
-    flagged = dealt.select("unit", "train", text, "copies")
-
-    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Distinct words of each unit in a batch with their training counts."""
-        unit, taught = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        # taught last; documents that count more than once apart from the others, by their number
-        times = batch.column(3).to_numpy() * taught
-        order = np.lexsort((times, unit))
-        unit, times = unit[order], times[order]
-        h, n = _hashes(*utf8(batch.column(2).take(pa.array(order))))
-        at = np.concatenate([[0], np.cumsum(n)])
-        heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-        found = []
-        for i, j in zip(heads, np.append(heads[1:], len(unit)), strict=True):
-            w, _ = _counted(h[at[i] : at[j]])
-            c = np.zeros(len(w), np.int64)
-            for x in np.unique(times[i:j]).tolist():
-                if x:
-                    a, b = i + np.searchsorted(times[i:j], x), i + np.searchsorted(times[i:j], x, side="right")
-                    known, count = _counted(h[at[a] : at[b]])
-                    c[np.searchsorted(w, known)] += count * x
-            found.append((w, c))
-        size = [len(w) for w, _ in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(unit[heads], size), pa.int32()), pa.array(np.concatenate([w for w, _ in found]).view(np.int64)), pa.array(np.concatenate([c for _, c in found]))],
-            ["unit", "word", "c"],
-        )
+    with Scratch(docs.sparkSession) as keep:
+        out, m = _run(docs, train, None, keep, order, chunk_bytes, waves, True, key, text, True)
+        return cut(out.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score"))
+
+
+def fit(docs: DataFrame, keep: Scratch, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> Model:
+    """A model of all texts; its tables live as long as ``keep``."""
+    return _run(docs, F.lit(True), None, keep, order, chunk_bytes, waves, True, key, text, False)[1]
+
 
-    used = arrow_map(flagged, words, "unit int, word long, c long")
-    counted = stored(used.groupBy("word").agg(F.sum("c").alias("count")))
-    sums = counted.agg(F.sum("count").alias("n"), F.sum((F.col("count") > 0).cast("long")).alias("v")).first()
-    ends = docs.where(F.coalesce(train, F.lit(False))).count()
-    total, kinds = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
-
-    def sorted_words(part: pa.Table) -> pa.Table:
-        word, place = np.unique(part.column("word").to_numpy().view(U64), return_index=True)
-        gaps = np.diff(word, prepend=U64(0))
-        return pa.table({"unit": part.column("unit")[:1], "words": pa.array([packed(gaps)], pa.binary()), "counts": pa.array([packed(part.column("count").to_numpy()[place])], pa.binary())})
-
-    looked_up = used.select("unit", "word").join(counted, "word")
-    vocabulary = stored(looked_up.groupBy("unit").applyInArrow(sorted_words, "unit int, words binary, counts binary"))
-    answer = stored(answers(requests(units, vocabulary, ends)))
-    seen = {x.pos: x.n for x in answer.where("unit = -1").select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
-    d = discounts(np.array([seen.get(i, 0) for i in range(K + 2)], float))
-    out = scores(units, answer, d, total, kinds, ends, key, kind)
-    return out.select(key, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+def score(docs: DataFrame, model: Model, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like ``score_documents`` for another corpus under a fitted model: requests meet the model's tables by bucket."""
+    with Scratch(docs.sparkSession) as keep:
+        out, m = _run(docs, F.lit(False), model, keep, len(model.d) + 1, chunk_bytes, waves, False, key, text, True)
+        return cut(out.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score"))
