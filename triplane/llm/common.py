@@ -219,24 +219,37 @@ class Scratch:
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nonnegative numbers in 7-bit groups, low group first, high bit set on all but the last: (bytes, length of each)."""
-    values = values.astype(U64)
+    values = values.astype(U64, copy=False)
+    most, groups = int(values.max()) if len(values) else 0, 1
     size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        size += values >= U64(1) << U64(7 * k)
+    while most >> 7 * groups:
+        size += values >= U64(1) << U64(7 * groups)
+        groups += 1
+    if groups == 1:
+        return values.astype(np.uint8), size
     at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max()) if len(size) else 0):
-        has = size > k
-        group = (values[has] >> U64(7 * k)) & U64(127)
-        out[at[has] + k] = group.astype(np.uint8) | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
+    out = np.empty(int(at[-1] + size[-1]), np.uint8)
+    long = np.flatnonzero(size > 1)
+    out[at] = values.astype(np.uint8) & 127
+    out[at[long]] |= 128
+    for k in range(1, groups):
+        group = (values[long] >> U64(7 * k)).astype(np.uint8) & 127
+        more = size[long] > k + 1
+        out[at[long] + k] = group | (more.astype(np.uint8) << 7)
+        long = long[more]
     return out, size
 
 
 def from_varints(data: np.ndarray) -> np.ndarray:
-    last = data < 128
-    end = np.flatnonzero(last)
-    if not len(end):
-        return np.zeros(0, np.int64)
+    end = np.flatnonzero(data < 128)
+    if len(end) == len(data):
+        return data.astype(np.int64)
     start = np.concatenate([[0], end[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(start, end - start + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start)
+    size = end - start + 1
+    out = (data[start] & 127).astype(np.int64)
+    long, k = np.flatnonzero(size > 1), 1
+    while len(long):
+        out[long] |= (data[start[long] + k] & 127).astype(np.int64) << (7 * k)
+        k += 1
+        long = long[size[long] > k]
+    return out

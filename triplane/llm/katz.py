@@ -163,29 +163,31 @@ class Unit:
         self.keys, train, n = row["keys"].values, row["train"].values.to_numpy(zero_copy_only=False), row["n"].values.to_numpy()
         blob = lambda c, kind: unpacked(row[c].as_py(), kind) if row[c].is_valid else np.zeros(0, kind)
         stream, ids, counts = blob("stream", np.uint32).astype(np.int64), blob("ids", np.int64), blob("counts", np.int64)
-        self.size, self.begin = len(ids) + 2, len(ids)
-        self.id = np.concatenate([ids, [BEGIN, END]])
-        self.count = np.concatenate([counts, [ends, ends]])
-        self.by_id = np.empty(self.size, np.int64)
-        self.by_id[np.argsort(self.id, kind="stable")] = np.arange(self.size)
+        # places in the order of the words' numbers, so that n-grams come out in the order of histories and words
+        ids, counts = np.append(ids, [BEGIN, END]), np.append(counts, [ends, ends])
+        order = np.argsort(ids, kind="stable")
+        self.size, self.id, self.count = len(ids), ids[order], counts[order]
+        place = np.empty(self.size, np.int64)
+        place[order] = np.arange(self.size)
+        self.begin = place[-2]
         self.n = n + 1
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        self.token = np.full(self.at[-1], self.begin + 1)
+        self.token = np.full(self.at[-1], place[-1])
         inner = np.ones(self.at[-1], bool)
         inner[self.at[1:] - 1] = False
-        self.token[inner] = stream
+        self.token[inner] = place[stream]
         self.train = np.repeat(train, self.n)
 
 
 class Level:
     """The distinct n-grams of a unit: ``node`` of each token; of each node its history (``of``), last word and training
-    count; of each history its words' numbers, the latest first, and its own history one word shorter."""
+    count; of each history its words' numbers, the first word's first, and its own history one word shorter. A
+    history of two words or more is a node of the order below, plus one; the beginning is ``none``."""
 
     def __init__(self, unit: Unit, lower: Level | None) -> None:
         self.unit, self.lower = unit, lower
-        self.order = lower.order + 1 if lower else 2
-        before = lower.node if lower else unit.token
-        self.none = lower.n if lower else unit.begin
+        before = lower.node + 1 if lower else unit.token
+        self.none = 0 if lower else unit.begin
         history = np.empty(len(before), np.int64)
         history[1:] = before[:-1]
         history[unit.at[:-1]] = self.none
@@ -194,11 +196,11 @@ class Level:
         self.n = len(pair)
         self.taught = np.bincount(self.node, weights=unit.train, minlength=self.n).astype(np.int64)
         if lower:
-            self.ids = [np.append(x, BEGIN) for x in (unit.id[lower.word], *(h[lower.of] for h in lower.ids))]
+            self.ids = [np.concatenate([[BEGIN], x]) for x in (*(h[lower.of] for h in lower.ids), unit.id[lower.word])]
             self.shorter = np.empty(lower.n + 1, np.int64)
-            self.shorter[lower.node] = lower.lower.node if lower.lower else unit.token
-            self.shorter[lower.n] = lower.none
-            self.history_count = np.append(lower.c, unit.count[unit.begin])
+            self.shorter[lower.node + 1] = lower.lower.node + 1 if lower.lower else unit.token
+            self.shorter[0] = lower.none
+            self.history_count = np.concatenate([unit.count[[unit.begin]], lower.c])
             self.low = np.empty(self.n, np.int64)
             self.low[self.node] = lower.c[lower.node]
         else:
@@ -207,43 +209,35 @@ class Level:
     def ask(self, buckets: int) -> None:
         """Put what is asked for in the order of buckets, histories and words. Not asked for: histories without
         training, and n-grams whose shorter n-gram training lacks."""
-        unit, histories = self.unit, len(self.ids[0])
+        histories = len(self.ids[0])
         alive = self.history_count > 0
         for x in self.ids:
             alive &= x != UNKNOWN
-        shares = np.maximum(1, -(-self.history_count // SHARE))
+        self.shares = shares = np.maximum(1, -(-self.history_count // SHARE))
         base = np.zeros(histories, U64)
         for x, m in zip(self.ids, MULTIPLIERS, strict=False):
             base = mix(base * MULTIPLIERS[63] + x.astype(U64) * m)
-        bucket = lambda h, share: (mix(base[h] + share.astype(U64) * MULTIPLIERS[62]) % U64(buckets)).astype(np.int64)
-        used = np.zeros(histories, bool)
-        used[self.of] = True
+        bucket = (base % U64(buckets)).astype(np.int64)
         nodes = np.flatnonzero(alive[self.of] & (self.low > 0))
         h = self.of[nodes]
-        share = np.where(shares[h] > 1, mix(unit.id[self.word[nodes]].astype(U64) ^ MULTIPLIERS[61]) % shares[h].astype(U64), U64(0))
-        lacks = np.zeros(histories, bool)
-        lacks[self.of[(self.low == 0)]] = True
-        # a history's sums come from the bucket of its first share
-        home = np.flatnonzero(alive & used & (lacks | (shares > 1)))
-        places = np.lexsort(self.ids[::-1])
-        rank = np.empty(histories, np.int64)
-        rank[places] = np.arange(histories)
-        b = np.concatenate([bucket(h, share), bucket(home, np.zeros(len(home)))])
-        r = rank[np.concatenate([h, home])]
-        w = np.concatenate([unit.by_id[self.word[nodes]] + 1, np.zeros(len(home), np.int64)])
-        if (buckets.bit_length() + histories.bit_length() + unit.size.bit_length()) < 63:
-            order = np.argsort((b * histories + r) * (unit.size + 1) + w)
-        else:
-            order = np.lexsort((w, r, b))
-        b, r, w = b[order], r[order], w[order]
-        head = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (r[1:] != r[:-1])])) if len(b) else np.zeros(0, np.int64)
-        entry = w > 0
-        self.nodes = np.concatenate([nodes, np.full(len(home), -1)])[order][entry]
-        self.records = places[r[head]]
+        at = bucket[h]
+        parted = np.flatnonzero(shares[h] > 1)
+        share = mix(self.unit.id[self.word[nodes[parted]]].astype(U64) ^ MULTIPLIERS[61]) % shares[h[parted]].astype(U64)
+        at[parted] = mix(base[h[parted]] + share * MULTIPLIERS[62]) % U64(buckets)
+        lacks, has, used = (np.zeros(histories, bool) for _ in range(3))
+        lacks[self.of[self.low == 0]] = True
+        has[h], used[self.of] = True, True
+        # a history that has no n-gram in its own bucket goes there for its sums
+        alone = np.flatnonzero(alive & used & ((lacks & ~has) | (shares > 1)))
+        into = np.searchsorted(h, alone)
+        h, at, nodes = np.insert(h, into, alone), np.insert(at, into, bucket[alone]), np.insert(nodes, into, -1)
+        order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
+        h, at, nodes = h[order], at[order], nodes[order]
+        head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+        entry = nodes >= 0
+        self.nodes, self.records, self.bucket = nodes[entry], h[head], at[head]
         self.length = np.add.reduceat(entry.astype(np.int64), head) if len(head) else head
-        self.bucket = b[head]
         self.flags = 2 * shares[self.records] + lacks[self.records]
-        self.shares = shares
 
     def requests(self, name: int, wave: tuple[int, int]) -> pa.Table:
         """A row for each bucket of the wave."""
@@ -251,8 +245,8 @@ class Level:
         ids = [x[self.records] for x in self.ids]
         word, low = self.unit.id[self.word[self.nodes]], self.low[self.nodes]
         table = _rows(self.bucket[first], np.append(first, len(self.bucket)), ids, self.length, word, self.taught[self.nodes], low, self.flags)
-        table = table.append_column("chunk", pa.array(np.full(len(first), name), pa.int64()))
-        return table.filter(pc.equal(pa.array(self.bucket[first] % wave[1]), wave[0])).select(REQUEST_NAMES)
+        table = table.append_column("chunk", pa.array(np.full(len(first), name), pa.int64())).select(REQUEST_NAMES)
+        return table.filter(pa.array(self.bucket[first] % wave[1] == wave[0])) if wave[1] > 1 else table
 
     def answered(self, rows: pa.Table) -> None:
         """Take in the answers: ``c`` of each node; of each history C, the discounted sum and the sum of lower weights."""
@@ -345,7 +339,6 @@ def _bucket(order: int, weigh, model: bool):
         given = np.where(split[:, None], 0, stats[of])
         low_given = np.where(~split & (misses | (flags & 1 > 0)), lows[of], 0.0)
         at = np.concatenate([[0], np.cumsum(size)])
-        bucket = t.column("bucket")[0].as_py()
         entries = np.concatenate([[0], np.cumsum(length)])[at]
         asked = pa.table({
             "chunk": t.column("chunk"), "bucket": t.column("bucket"),
@@ -354,12 +347,12 @@ def _bucket(order: int, weigh, model: bool):
         asked = asked.filter(pc.greater_equal(asked.column("chunk"), 0))
         parts = [asked.append_column("kind", pa.array(np.zeros(asked.num_rows), pa.int32()))]
         hist = np.bincount(np.minimum(cs, K + 2), minlength=K + 3)[: K + 2]
-        parts.append(pa.table({"kind": pa.array([1], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "sums": pa.array([hist.tolist()], pa.list_(pa.int64()))}))
+        parts.append(pa.table({"kind": pa.array([1], pa.int32()), "bucket": t.column("bucket")[:1], "sums": pa.array([hist.tolist()], pa.list_(pa.int64()))}))
         if model and len(seen):  # the pairs are in the order of histories and words
             head = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
             of_head = record[first[seen[head]]]
             counts = np.diff(np.append(head, len(hs)))
-            table = _rows(np.array([bucket]), np.array([0, len(head)]), [x[of_head] for x in ids], counts, word[first[seen]], cs, low[first[seen]], flags[of_head] & ~1)
+            table = _rows(t.column("bucket")[:1].to_numpy(), np.array([0, len(head)]), [x[of_head] for x in ids], counts, word[first[seen]], cs, low[first[seen]], flags[of_head] & ~1)
             parts.append(table.append_column("kind", pa.array([2], pa.int32())).append_column("chunk", pa.array([-1], pa.int64())))
         if split.any():
             own = np.unique(of[split], return_index=True)[1]
@@ -523,7 +516,7 @@ def _run(docs: DataFrame, train: Column, known: Model | None, keep: Scratch, ord
     return (_scored(units, replies, m, order, key, kind) if score else None), m
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score``: log10 probabilities under a model of the documents
     where ``train`` is true (null is false), for every row.
 
@@ -538,12 +531,12 @@ def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes:
         return cut(out.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score"))
 
 
-def fit(docs: DataFrame, keep: Scratch, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, keep: Scratch, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> Model:
     """A model of all texts; its tables live as long as ``keep``."""
     return _run(docs, F.lit(True), None, keep, order, chunk_bytes, waves, True, key, text, False)[1]
 
 
-def score(docs: DataFrame, model: Model, chunk_bytes: int = 8 << 20, waves: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Like ``score_documents`` for another corpus under a fitted model: requests meet the model's tables by bucket."""
     with Scratch(docs.sparkSession) as keep:
         out, m = _run(docs, F.lit(False), model, keep, len(model.d) + 1, chunk_bytes, waves, False, key, text, True)
