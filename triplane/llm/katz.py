@@ -19,6 +19,7 @@ d(r) is Katz's Good-Turing discount of the order for r up to 5. g(h) is 1 unless
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -206,9 +207,9 @@ class Level:
         else:
             self.ids, self.shorter, self.history_count, self.low = [unit.id], None, unit.count, unit.count[self.word]
 
-    def ask(self, buckets: int) -> None:
-        """Put what is asked for in the order of buckets, histories and words. Not asked for: histories without
-        training, and n-grams whose shorter n-gram training lacks."""
+    def ask(self, buckets: int, wave: tuple[int, int] = (0, 1)) -> None:
+        """Put what is asked for in the order of buckets (of a wave), histories and words. Not asked for: histories
+        without training, and n-grams whose shorter n-gram training lacks."""
         histories = len(self.ids[0])
         alive = self.history_count > 0
         for x in self.ids:
@@ -231,6 +232,9 @@ class Level:
         alone = np.flatnonzero(alive & used & ((lacks & ~has) | (shares > 1)))
         into = np.searchsorted(h, alone)
         h, at, nodes = np.insert(h, into, alone), np.insert(at, into, bucket[alone]), np.insert(nodes, into, -1)
+        if wave[1] > 1:
+            own = at % wave[1] == wave[0]
+            h, at, nodes = h[own], at[own], nodes[own]
         order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
         h, at, nodes = h[order], at[order], nodes[order]
         head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
@@ -239,20 +243,22 @@ class Level:
         self.length = np.add.reduceat(entry.astype(np.int64), head) if len(head) else head
         self.flags = 2 * shares[self.records] + lacks[self.records]
 
-    def requests(self, name: int, wave: tuple[int, int]) -> pa.Table:
-        """A row for each bucket of the wave."""
+    def requests(self, name: int) -> pa.Table:
+        """A row for each bucket."""
         first = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else np.zeros(0, np.int64)
         ids = [x[self.records] for x in self.ids]
         word, low = self.unit.id[self.word[self.nodes]], self.low[self.nodes]
         table = _rows(self.bucket[first], np.append(first, len(self.bucket)), ids, self.length, word, self.taught[self.nodes], low, self.flags)
-        table = table.append_column("chunk", pa.array(np.full(len(first), name), pa.int64())).select(REQUEST_NAMES)
-        return table.filter(pa.array(self.bucket[first] % wave[1] == wave[0])) if wave[1] > 1 else table
+        return table.append_column("chunk", pa.array(np.full(len(first), name), pa.int64())).select(REQUEST_NAMES)
 
     def answered(self, rows: pa.Table) -> None:
-        """Take in the answers: ``c`` of each node; of each history C, the discounted sum and the sum of lower weights."""
+        """Take in the answers: ``c`` of each node; unless only counts came, also of each history how many of its
+        n-grams were seen how often, and the sum of their lower weights."""
         t = rows.filter(pc.equal(rows.column("kind"), 0)).sort_by("bucket")
         self.c = np.zeros(self.n, np.int64)
         self.c[self.nodes] = from_varints(utf8(t.column("c"))[0])
+        if "stats" not in rows.column_names:
+            return
         histories = len(self.ids[0])
         self.stats = np.zeros((histories, K + 1), np.int64)
         self.lows = np.zeros(histories)
@@ -399,12 +405,12 @@ class Model:
         return Model(None, [], list(self.d), self.total, self.kinds, self.ends, self.buckets)
 
 
-def _levels(row: dict, replies: pa.Table | None, m: Model, upto: int, answered: int) -> tuple[Unit, list[Level]]:
+def _levels(row: dict, replies: pa.Table | None, m: Model, upto: int, answered: int, wave: tuple[int, int] = (0, 1)) -> tuple[Unit, list[Level]]:
     """The unit's levels up to an order, with the answers up to another."""
     unit, levels = Unit(row, m.ends), []
     for order in range(2, upto + 1):
         levels.append(Level(unit, levels[-1] if levels else None))
-        levels[-1].ask(m.buckets)
+        levels[-1].ask(m.buckets, wave if order > answered else (0, 1))
         if order <= answered:
             levels[-1].answered(replies.filter(pc.equal(replies.column("order"), order)))
     return unit, levels
@@ -421,8 +427,8 @@ def _ask(units: DataFrame, replies: DataFrame | None, m: Model, order: int, wave
     empty = pa.table({k: pa.array([], x) for k, x in zip(REQUEST_NAMES, [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True)})
 
     def asked(row: dict, got: pa.Table | None) -> pa.Table:
-        _, levels = _levels(row, got, m, order, order - 1)
-        return levels[-1].requests(row["chunk"].as_py(), wave)
+        _, levels = _levels(row, got, m, order, order - 1, wave)
+        return levels[-1].requests(row["chunk"].as_py())
 
     if replies is None:
 
@@ -432,7 +438,8 @@ def _ask(units: DataFrame, replies: DataFrame | None, m: Model, order: int, wave
                     yield from asked(_first_row(pa.Table.from_batches([batch.slice(i, 1)])), None).to_batches()
 
         return units.mapInArrow(each, REQUEST)
-    return units.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda a, b: asked(_first_row(a), b) if a.num_rows else empty, REQUEST)
+    counts = replies.where("kind = 0").select("order", "kind", "chunk", "bucket", "c")
+    return units.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(lambda a, b: asked(_first_row(a), b) if a.num_rows else empty, REQUEST)
 
 
 def _answer(units: DataFrame, replies: DataFrame | None, m: Model, order: int, keep: Scratch, waves: int, given: DataFrame | None, model: bool) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -495,7 +502,8 @@ def _scored(units: DataFrame, replies: DataFrame, m: Model, order: int, key: str
     return units.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, f"`{key}` {kind}, {RESULT}")
 
 
-def _run(docs: DataFrame, train: Column, known: Model | None, keep: Scratch, order: int, chunk_bytes: int, waves: int, model: bool, key: str, text: str, score: bool) -> tuple[DataFrame | None, Model]:
+def _run(docs: DataFrame, train: Column, known: Model | None, keep: Scratch, order: int, chunk_bytes: int, waves: int, model: bool, key: str, text: str, score: bool) -> tuple[list[DataFrame], Model]:
+    """(the scores by wave, the model)."""
     kind = docs.schema[key].dataType.simpleString()
     chunk = keep.stored(chunk_table(docs, train, chunk_bytes, key, text))
     words = dictionary(chunk)
@@ -513,10 +521,16 @@ def _run(docs: DataFrame, train: Column, known: Model | None, keep: Scratch, ord
         m.d.append(known.d[i - 2] if known else discounts(hist))
         m.tables.append(table)
         replies = got if replies is None else replies.union(got)
-    return (_scored(units, replies, m, order, key, kind) if score else None), m
+    own = [F.pmod(F.xxhash64("chunk"), F.lit(waves)) == w for w in range(waves)] if score else []
+    return [_scored(units.where(x), replies.where(x), m, order, key, kind) for x in own], m
 
 
-def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _results(out: list[DataFrame], m: Model, key: str) -> DataFrame:
+    parts = [cut(x.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score")) for x in out]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes: int = 6 << 20, waves: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score``: log10 probabilities under a model of the documents
     where ``train`` is true (null is false), for every row.
 
@@ -524,20 +538,20 @@ def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes:
     beginning. Without training documents every token has the unknown word's probability 1. Repeated rows
     count and are scored each; a null key stays null. Other columns aren't read. An empty table gives an empty one.
     A task holds a chunk of ``chunk_bytes`` (or one longer text) or the n-grams of a bucket; ``waves``: in so many
-    turns the buckets are filled, which bounds the shuffled bytes on disk at a time. The tables are removed at the end.
+    turns buckets are filled and chunks scored, which bounds the shuffled bytes on disk at a time. The tables are removed at the end.
     """
     with Scratch(docs.sparkSession) as keep:
         out, m = _run(docs, train, None, keep, order, chunk_bytes, waves, True, key, text, True)
-        return cut(out.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score"))
+        return _results(out, m, key)
 
 
-def fit(docs: DataFrame, keep: Scratch, order: int = 3, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, keep: Scratch, order: int = 3, chunk_bytes: int = 6 << 20, waves: int = 3, key: str = "doc_id", text: str = "text") -> Model:
     """A model of all texts; its tables live as long as ``keep``."""
     return _run(docs, F.lit(True), None, keep, order, chunk_bytes, waves, True, key, text, False)[1]
 
 
-def score(docs: DataFrame, model: Model, chunk_bytes: int = 8 << 20, waves: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, chunk_bytes: int = 6 << 20, waves: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Like ``score_documents`` for another corpus under a fitted model: requests meet the model's tables by bucket."""
     with Scratch(docs.sparkSession) as keep:
         out, m = _run(docs, F.lit(False), model, keep, len(model.d) + 1, chunk_bytes, waves, False, key, text, True)
-        return cut(out.select(key, "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score"))
+        return _results(out, m, key)
