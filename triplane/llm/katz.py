@@ -262,8 +262,9 @@ class Level:
         histories = len(self.ids[0])
         self.stats = np.zeros((histories, K + 1), np.int64)
         self.lows = np.zeros(histories)
-        np.add.at(self.stats, self.records, from_varints(utf8(t.column("stats"))[0]).reshape(-1, K + 1))
-        np.add.at(self.lows, self.records, utf8(t.column("low"))[0].view(np.float64))
+        # a parted history has several records, all 0: its sums come as a whole
+        self.stats[self.records] = from_varints(utf8(t.column("stats"))[0]).reshape(-1, K + 1)
+        self.lows[self.records] = utf8(t.column("low"))[0].view(np.float64)
         whole = rows.filter(pc.equal(rows.column("kind"), 5))
         if whole.num_rows:
             place = {h: i for i, h in enumerate(zip(*(x.tolist() for x in self.ids), strict=True)) if self.shares[i] > 1}
@@ -336,7 +337,7 @@ def _bucket(order: int, weigh, model: bool):
         cs, hs = c[seen], entry[first[seen]]
         stats = np.zeros((len(known), K + 1), np.int64)
         few = cs <= K
-        np.add.at(stats, (hs[few], cs[few] - 1), 1)
+        stats[:, :K] = np.bincount(hs[few] * K + cs[few] - 1, minlength=len(known) * K).reshape(-1, K)
         stats[:, K] = np.bincount(hs[~few], weights=cs[~few], minlength=len(known))
         lows = np.bincount(hs, weights=weigh(low[first[seen]]), minlength=len(known))
         split = flags >= 4
@@ -447,6 +448,8 @@ def _answer(units: DataFrame, replies: DataFrame | None, m: Model, order: int, k
     lower = m.d[-1] if order > 2 else None
     weigh = (lambda c: c + ADD) if order == 2 else (lambda c: discounted(c, lower))
     f, tables = _bucket(order, weigh, model), []
+    if order == 2:  # few bytes, and little else is stored yet
+        waves = 1
     for w in range(waves):
         asked = _ask(units, replies, m, order, (w, waves))
         if given is not None:
