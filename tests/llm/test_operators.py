@@ -79,6 +79,22 @@ def test_jaccard_components(docs, rows, num, k, light, block):
     assert sorted(map(tuple, found.collect()), key=str) == brute_components(rows, num, 100, k)
 
 
+def test_jaccard_blocks_are_dealt(spark):
+    """A cluster's blocks don't lie in one task, and what is one component is not compared again."""
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.integers(1, 2**63, 200, dtype=np.uint64))
+    made = [(i, 200, base.tobytes()) for i in range(40)] + [(100, 200, np.sort(np.append(base[10:], rng.integers(1, 2**63, 10, dtype=np.uint64))).tobytes()), (200, 50, np.sort(rng.integers(1, 2**63, 50, dtype=np.uint64)).tobytes())]
+    sets = spark.createDataFrame(made, "node long, n_shingles long, members binary")
+    t = ngram_join.Threshold(90, 100)
+    groups = sets.selectExpr("node", "members", "node % 1 AS cluster", "node % 8 AS block")
+    plan = ngram_join._scanned(groups.repartition("cluster"), t, "cluster", "block")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cluster" in plan and "block" in plan.split("hashpartitioning(", 1)[1].split(")")[0]
+    with Scratch(spark) as keep:
+        links = ngram_join.verified_links(sets, sets.selectExpr("node", "1L AS cluster"), t, 5, 1 << 20, keep).collect()
+    found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(found) == {*range(40), 100} and set(found.values()) == {0} and len(links) < 60
+
+
 def test_jaccard_sizes():
     """Any two sets that link share a bucket: sizes and overlaps at the limit."""
     t = ngram_join.Threshold(90, 100)

@@ -9,7 +9,8 @@ split by set size at a boundary that the cost of both over the size histogram de
   set stays only if that many of its own occur in another set's. Of what stays (near copies, mostly) the
   inverted lists of the rarest shingles, enough that linked sets meet in one, join each list's members to
   its least node; the clusters this makes hold every possible link. In a cluster the inverted lists of all
-  shingles are scanned, in block pairs of bounded size, and only a spanning forest of the links leaves a task.
+  shingles are scanned, in blocks of bounded size, then across blocks for what isn't one component by then, and
+  only a spanning forest of the links leaves a task.
 
 No step lists the pairs of a group, and nothing is capped.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, mix, shingles, signed, stored, utf8
+from .common import MULTIPLIERS, U64, Scratch, Words, arrow_map, chunks, cut, mix, shingles, signed, utf8
 from .components import connected_components
 
 
@@ -224,9 +225,9 @@ def rare_edges(sets: DataFrame, t: Threshold) -> DataFrame:
     return ranked.where("rank <= room + shared AND node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
+def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray] | None, root: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets by scanning inverted lists: of ``left`` among themselves (right None) or with
-    ``right``; positions count on from left into right. Only links that join two components."""
+    ``right``; positions count on from left into right. Only links that join two components; ``root``: those known before."""
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets])
     indexed = sets if right is None else right
@@ -235,9 +236,11 @@ def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray]
     values = np.concatenate(indexed)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if root is None else root.copy()
     links = []
     for i in range(len(left)):
+        if (root[i + 1 if right is None else base :] == root[i]).all():
+            continue
         a, b = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
         length = b - a
         heads = np.cumsum(length) - length
@@ -269,33 +272,61 @@ def node_sets(docs: DataFrame, wanted: DataFrame, k: int, key: str, text: str) -
     return sets.where("members IS NOT NULL").dropDuplicates(["node"])
 
 
-def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_sets: int, block_shingles: int) -> DataFrame:
-    """``sets(node, n_shingles, members)``, ``clusters(node, cluster)`` -> ``a, b``: a spanning forest of the links.
-
-    A cluster is dealt into blocks of bounded size and every pair of blocks is one group."""
-    members = sets.join(clusters, "node")
-    sizes = sets.select("node", "n_shingles").join(clusters, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
-    sets = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    grid = sets.select("node", "cluster", "block", "members", other)
-    grid = grid.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+def _scanned(groups: DataFrame, t: Threshold, *keys: str) -> DataFrame:
+    """``a, b``: links in groups of ``node, members``; with a column ``left`` (and ``component``), only of left ones
+    with others, of different components. The groups are dealt by all keys, however they lie."""
+    sided = "left" in groups.columns
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        own = [np.frombuffer(x, U64) for x in group["members"]]
-        nodes = group["node"].to_numpy()
-        i, j = group["i"].iat[0], group["j"].iat[0]
-        if i == j:
-            found = scanned_links(t, own, None)
+        group = group.sort_values(["left", "node"] if sided else "node", ascending=[False, True] if sided else True)
+        own, nodes = [np.frombuffer(x, U64) for x in group["members"]], group["node"].to_numpy()
+        if sided:
+            n, root = int(group["left"].sum()), np.unique(group["component"], return_inverse=True)[1]
+            found = scanned_links(t, own[:n], own[n:], root) if 0 < n < len(own) else []
         else:
-            first = (group["block"] == i).to_numpy()
-            left, right = [s for s, x in zip(own, first, strict=True) if x], [s for s, x in zip(own, first, strict=True) if not x]
-            nodes = np.concatenate([nodes[first], nodes[~first]])
-            found = scanned_links(t, left, right) if left and right else []
+            found = scanned_links(t, own, None)
         return pd.DataFrame([(int(nodes[x]), int(nodes[y])) for x, y in found], columns=["a", "b"]).astype("int64")
 
-    return grid.groupBy("cluster", "i", "j").applyInPandas(scan, "a long, b long")
+    return groups.repartition(*keys).groupBy(*keys).applyInPandas(scan, "a long, b long")
+
+
+def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_sets: int, block_shingles: int, keep: Scratch) -> DataFrame:
+    """``sets(node, n_shingles, members)``, ``clusters(node, cluster)`` -> ``a, b``: links with the components of all links.
+
+    A cluster is dealt into blocks of bounded size. First each block is scanned alone, then one set of each component
+    found with those of other blocks. What is one component by then is compared no more: only sets outside
+    their cluster's largest component meet those of other components, block by block."""
+    sizes = sets.select("node", "n_shingles").join(clusters, "node").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / block_sets), F.ceil(s / block_shingles), F.lit(1)).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    sizes = sizes.select("cluster", blocks(F.col("n"), F.col("s")).alias("blocks"))
+    placed = sets.join(clusters, "node").join(sizes, "cluster").withColumn("block", dealt(F.col("blocks")))
+    placed = keep.stored(placed.select("node", "cluster", "n_shingles", "members", "blocks", "block"))
+    links = cut(_scanned(placed.select("node", "cluster", "block", "members"), t, "cluster", "block"))
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    names = large.select("node", "cluster", "n_shingles", "blocks")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """``node, cluster, n_shingles, blocks, component`` of the large clusters."""
+        found = connected_components(links)
+        return names.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    firsts = labelled(links).where("node = component")
+    few = firsts.groupBy("cluster").agg(blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("few"))
+    firsts = firsts.join(few, "cluster").select("node", dealt(F.col("few")).alias("part"))
+    links = cut(links.union(_scanned(large.join(firsts, "node").select("node", "cluster", "part", "members"), t, "cluster", "part")))
+    now = cut(labelled(links))
+    by_size = now.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    outside = F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    tops = by_size.groupBy("cluster").agg(outside.alias("x")).where("x.components > 1")
+    tops = tops.select("cluster", F.col("x.top.component").alias("top"), blocks(F.col("x.n") - F.col("x.top.n"), F.col("x.s") - F.col("x.top.s")).alias("lefts"))
+    open_sets = now.join(tops, "cluster").select("node", "cluster", "blocks", "component", "top", "lefts")
+    left = open_sets.where("component <> top").select("node", "component", F.lit(True).alias("left"), "cluster", dealt(F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    right = open_sets.select("node", "component", F.lit(False).alias("left"), "cluster", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), dealt(F.col("blocks")).alias("j"))
+    grid = left.union(right).join(large.select("node", "members"), "node")
+    return links.union(_scanned(grid, t, "cluster", "i", "j"))
 
 
 def jaccard_components(
@@ -309,7 +340,11 @@ def jaccard_components(
     Repeated rows come back repeated in one component; a null key stays null and is no component's least.
     Other columns aren't read. An empty table gives an empty one.
     """
-    t = Threshold(num, den)
+    with Scratch(docs.sparkSession) as keep:
+        return cut(_components(docs, Threshold(num, den), k, key, text, block_sets, block_shingles, light, keep))
+
+
+def _components(docs: DataFrame, t: Threshold, k: int, key: str, text: str, block_sets: int, block_shingles: int, light: int | None, keep: Scratch) -> DataFrame:
     base = cut(document_sets(docs, k, key, text))
     if light is None:
         histogram = {r.n_shingles: r["count"] for r in base.where("n_shingles BETWEEN 1 AND 128").groupBy("n_shingles").count().collect()}
@@ -318,9 +353,9 @@ def jaccard_components(
     found = light_edges(docs, t, light, k, text) if light else None
     heavy = cut(survivors(docs, t, light, k, text))
     wanted = owners.where(F.col(key).isNotNull()).join(heavy, "node")
-    sets = stored(node_sets(docs, wanted, k, key, text))
+    sets = keep.stored(node_sets(docs, wanted, k, key, text))
     clusters = connected_components(cut(rare_edges(sets, t))).select("node", F.col("component").alias("cluster"))
-    links = verified_links(sets, clusters, t, block_sets, block_shingles)
+    links = verified_links(sets, clusters, t, block_sets, block_shingles, keep)
     links = cut(links.union(found) if found is not None else links)
     joined = connected_components(links)
     least = owners.select("node", F.col(key).alias("_least")).join(joined, "node").groupBy("component").agg(F.min("_least").alias("component_id"))
