@@ -377,7 +377,6 @@ def test_mixing(spark, docs, rows):
     assert totals / totals.sum() == pytest.approx([0.5, 0.5], abs=0.01)
     assert totals.sum() == pytest.approx(sum(r.n_tokens for r in got), rel=0.01)
     assert {r.domain for r in got if r.doc_id >= 2000} == {"toxic"} and {r.domain for r in got if r.doc_id < 2000} == {"clean"}
-    # brute force: the least error that nonnegative rates reach is 0 here; unreachable targets end at the bound
     only = mixing.mix(table.where("doc_id < 2000"), labelled, {"clean": 0.0, "toxic": 1.0}, total_tokens=1000.0).collect()
     assert all(r.rate >= 0 for r in only)
     awkward = mixing.mix(docs, labelled, targets).collect()

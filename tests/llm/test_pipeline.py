@@ -66,15 +66,28 @@ def test_leaks_dropped(spark, sf_dir, stages):
     assert sorted(k for k, _ in pairs(after)) == sorted(clean)
 
 
-def test_rates(stages):
+def test_rates(spark, sf_dir, stages):
     _, before, after = stages[4]
     rows = after.collect()
-    assert sorted(r.doc_id for r in rows) == sorted(k for k, _ in pairs(before))
+    assert sorted(r.doc_id for r in rows) == sorted(k for k, _ in pairs(before)) and after.columns[: len(before.columns)] == before.columns
     assert all(r.rate >= 0 for r in rows)
     totals = np.sum([r.rate * r.n_tokens * np.array(r.posterior) for r in rows], axis=0)
-    wanted = np.array([queries.TARGETS[k] for k in sorted(queries.TARGETS)]) * sum(r.n_tokens for r in rows)
-    before_error = np.abs(np.sum([r.n_tokens * np.array(r.posterior) for r in rows], axis=0) - wanted).max()
-    assert np.abs(totals - wanted).max() <= before_error  # little that is low or toxic is left here
+    first = np.sum([r.n_tokens * np.array(r.posterior) for r in rows], axis=0)
+    wanted = np.array([corpus_pipeline.TARGETS[k] for k in sorted(corpus_pipeline.TARGETS)]) * sum(r.n_tokens for r in rows)
+    assert np.abs(first - wanted).max() > 0.02 * wanted.sum()  # there is something to do
+    assert np.abs(totals - wanted).max() < 0.7 * np.abs(first - wanted).max()  # 200 documents have few labels: no posterior is sure
+
+
+def test_rates_reach_the_targets(spark):
+    """With the labels of more documents the classifier tells domains apart, and the stage meets its targets."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = queries.table(spark, sf_dir, "documents")
+    rows = corpus_pipeline.mix_to_targets(spark, docs, sf_dir).select(*docs.columns, "n_tokens", "domain", "posterior", "rate").collect()
+    totals = np.sum([r.rate * r.n_tokens * np.array(r.posterior) for r in rows], axis=0)
+    assert totals / totals.sum() == pytest.approx([0.98, 0.02], rel=5e-3)
+    labels = {r.doc_id: r.domain for r in queries.label_domains(queries.table(spark, sf_dir, "labels")).collect()}
+    assert np.mean([r.domain == "toxic" for r in rows if labels.get(r.doc_id) == "toxic"]) >= 0.8
+    assert np.mean([r.rate for r in rows if r.domain == "toxic"]) < 0.5 < 1 <= np.mean([r.rate for r in rows if r.domain == "clean"])
 
 
 def test_run(spark, sf_dir, stages):
