@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from triplane.llm import decontam, mixing, ngram_join, qda, substring_dedup
 from triplane.llm.common import cut
-from triplane.llm.queries import TARGETS, label_domains
+from triplane.llm.queries import label_domains
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return decontam.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
+#: Domains that the stages before leave (those of low quality are gone) and the share of all tokens that each is to have.
+TARGETS = {"clean": 0.98, "toxic": 0.02}
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A rate for each document, so that domain token totals meet the targets."""
-    return mixing.mix(docs, label_domains(_table(spark, sf_dir, "labels")), TARGETS)
+    """The documents with a rate for each, so that domain token totals meet the targets."""
+    labels = label_domains(_table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, labels, TARGETS, carry=tuple(docs.columns))
+    return mixed.select("carried.*", "n_tokens", "domain", "posterior", "rate")
 
 
 STAGES = [
