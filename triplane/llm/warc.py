@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import Scratch, cut
 
 END = "\r\n\r\n"
 START = "WARC/1.1\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -58,14 +59,14 @@ def header(fields: dict[str, object], block: bytes) -> bytes:
     return (START + "".join(lines) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block
 
 
-def records(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def records(page: dict, segment_bytes: int, chunk_bytes: int, date: str) -> Iterator[bytes]:
     """The records of a page, without the CRLF CRLF that ends each."""
     common = {
-        "WARC-Type": page["record_type"], "WARC-Record-ID": f"<urn:x-page:{page['record']}>", "WARC-Target-URI": re.sub(r"[\r\n]+", " ", page["uri"] or ""),
-        "WARC-Payload-Digest": f"sha256:{page['payload_digest']}", "X-Payload-Length": page["payload_bytes"],
+        "WARC-Type": page["record_type"], "WARC-Record-ID": f"<urn:x-page:{page['record']}>", "WARC-Date": date, "WARC-Target-URI": re.sub(r"[\r\n]+", " ", page["uri"] or ""),
+        "WARC-Payload-Digest": f"sha256:{page['payload_digest']}", "Content-Type": "application/http; msgtype=response",
     }
     if page["record_type"] == "revisit":
-        yield header(common | {"WARC-Refers-To": f"<urn:x-page:{page['refers_to']}>"}, HTTP.encode())
+        yield header(common | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:x-page:{page['refers_to']}>"}, HTTP.encode())
         return
     block = HTTP.encode() + chunked(page["payload"], chunk_bytes)
     if len(block) <= segment_bytes:
@@ -75,7 +76,7 @@ def records(page: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]
     pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     yield header(common | {"WARC-Segment-Number": 1}, pieces[0])
     for n, piece in enumerate(pieces[1:], 2):
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:x-segment:{page['record']}/{n}>", "WARC-Segment-Origin-ID": origin, "WARC-Segment-Number": n}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:x-segment:{page['record']}/{n}>", "WARC-Date": date, "WARC-Segment-Origin-ID": origin, "WARC-Segment-Number": n}
         yield header(more | {"WARC-Segment-Total-Length": len(block) if n == len(pieces) else None}, piece)
 
 
@@ -96,15 +97,17 @@ def planned(pages: DataFrame, key: str, html: str, uri: str, least_revisit: int)
     return rows.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload"))).withColumnRenamed("_key", "record")
 
 
-def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", uri: str = "url", least_revisit: int = 100, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10) -> None:
+def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html", uri: str = "url", least_revisit: int = 100, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, date: str | None = None) -> None:
     """Archives of all pages in ``folder``: gzip files of WARC/1.1 records. Equal payloads of at least
-    ``least_revisit`` bytes are stored once, at the least key; other pages revisit it."""
+    ``least_revisit`` bytes are stored once, at the least key; other pages revisit it. ``date``: of the records, by
+    default the time of the call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for page in batch.to_pylist():
-                for r in records(page, segment_bytes, chunk_bytes):
+                for r in records(page, segment_bytes, chunk_bytes, date):
                     out.append(r)
                     size += len(r)
                 if size > 8 << 20:
@@ -117,7 +120,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html
     rows.select(F.col("record").cast("string")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(folder)
 
 
-FIELDS = "kind string, id string, origin string, segment int, total long, digest string, length long, refers_to string, block binary"
+FIELDS = "kind string, id string, origin string, segment int, total long, digest string, refers_to string, block binary"
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,10 +138,10 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         number = lambda k: int(h[k]) if k in h else None
         return {
             "kind": h.get("warc-type"), "id": h.get("warc-record-id"), "origin": h.get("warc-segment-origin-id", h.get("warc-record-id")), "segment": number("warc-segment-number"), "total": number("warc-segment-total-length"),
-            "digest": h.get("warc-payload-digest"), "length": number("x-payload-length"), "refers_to": h.get("warc-refers-to"), "block": block,
+            "digest": h.get("warc-payload-digest"), "refers_to": h.get("warc-refers-to"), "block": block,
         }
 
-    kinds = pa.schema([("kind", pa.string()), ("id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", pa.string()), ("block", pa.binary())])
+    kinds = pa.schema([("kind", pa.string()), ("id", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("refers_to", pa.string()), ("block", pa.binary())])
 
     end = END.encode()
 
@@ -204,31 +207,47 @@ def whole_blocks(rows: DataFrame) -> DataFrame:
     return single.union(whole.select("id", "digest", checked))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``record, payload_bytes, payload_digest, record_type, refers_to`` (keys as text) from archives.
+#: Shares of the pages that revisit one response.
+SALTS = 16
 
-    A response's size and digest are those of its decoded payload, which must match the digest in its header;
-    a revisit has those of its header, and no payload."""
-    rows = read_records(spark, folder)
+
+def read(spark: SparkSession, folder: str, keep: Scratch) -> DataFrame:
+    """``record, payload_bytes, payload_digest, record_type, refers_to`` (keys as text) from archives, which are parsed
+    once, into a table of ``keep``.
+
+    A response's size and digest are those of its decoded payload, which must match the digest in its header; a
+    revisit has those of the decoded payload that it refers to, which must match its own header too. A response
+    that many pages revisit is met by so many shares of them."""
+    rows = keep.stored(read_records(spark, folder))
     page = lambda c: F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1)
+
+    def checked(found: Column, stated: Column, name: Column) -> Column:
+        return F.when(F.concat(F.lit("sha256:"), found) == stated, found).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest in "), name)))
+
     full = whole_blocks(rows).select("id", "digest", _payload("block").alias("p"))
-    same = F.concat(F.lit("sha256:"), F.col("p.payload_digest")) == F.col("digest")
-    digest = F.when(same, F.col("p.payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest in "), F.col("id"))))
-    responses = full.select(page("id").alias("record"), "p.payload_bytes", digest.alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
-    revisits = rows.where("kind = 'revisit'").select(page("id").alias("record"), F.col("length").alias("payload_bytes"), F.expr("substring(digest, 8)").alias("payload_digest"), F.lit("revisit").alias("record_type"), page("refers_to").alias("refers_to"))
-    return responses.union(revisits)
+    full = keep.stored(full.select(page("id").alias("record"), "p.payload_bytes", checked(F.col("p.payload_digest"), F.col("digest"), F.col("id")).alias("payload_digest")))
+    revisits = rows.where("kind = 'revisit'").select(page("id").alias("record"), "digest", page("refers_to").alias("refers_to"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    targets = full.join(revisits.select("refers_to").distinct(), full["record"] == F.col("refers_to"), "left_semi")
+    targets = targets.select(F.col("record").alias("refers_to"), "payload_bytes", "payload_digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    met = revisits.join(targets, ["refers_to", "salt"], "left")
+    missing = F.raise_error(F.concat(F.lit("nothing to revisit for "), F.col("record")))
+    digest = F.when(F.col("payload_digest").isNull(), missing).otherwise(checked(F.col("payload_digest"), F.col("digest"), F.col("record")))
+    met = met.select("record", "payload_bytes", digest.alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
+    return full.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to")).union(met)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
-    """Write archives of ``pages`` to the shared folder and read them back: one row per distinct key.
+    """Write archives of ``pages`` to the shared folder and read them back: one row per distinct key. The archives go
+    when they are read.
 
     A null payload is empty. Rows with a null key have no identifier and are left out; rows that repeat a key
     count once, with the payload of least digest. Payloads may hold anything, CRLF CRLF and WARC headers too.
     An empty table gives an empty one.
     """
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, folder, key=key, **options)
-    rows = read(spark, folder).dropDuplicates(["record"])
     kind = pages.schema[key].dataType
-    return rows.select(F.col("record").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    with Scratch(spark) as keep:
+        folder = keep.folder()
+        write(pages, folder, key=key, **options)
+        rows = read(spark, folder, keep).dropDuplicates(["record"])
+        return cut(rows.select(F.col("record").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
