@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, mix, shingles, signed, spread, utf8
+from .common import MULTIPLIERS, U64, Words, arrow_map, chunks, cut, mix, shingles, signed, spread, utf8
 
 #: Words of a signature block; windows are whole blocks.
 BLOCK = 8
@@ -192,11 +192,14 @@ def contaminated(
 
         return arrow_map(rows, each, schema)
 
-    out = None
+    out, before = None, None
     for held in _blocks(benchmark, block, item_key, item_text):
-        part = found(search.items([x for x, _ in held], pa.array([x for _, x in held], pa.string())))
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        if before is not None:  # more than one block: the hits of each are kept, not its items
+            out = cut(before) if out is None else out.union(cut(before))
+        before = found(search.items([x for x, _ in held], pa.array([x for _, x in held], pa.string())))
+    if before is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return before if out is None else out.union(before)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
