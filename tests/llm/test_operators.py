@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import gzip
 import hashlib
 import math
 import zlib
@@ -90,7 +91,8 @@ def test_jaccard_blocks_are_dealt(spark):
     plan = ngram_join._scanned(groups.repartition("cluster"), t, "cluster", "block")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(cluster" in plan and "block" in plan.split("hashpartitioning(", 1)[1].split(")")[0]
     with Scratch(spark) as keep:
-        links = ngram_join.verified_links(sets, sets.selectExpr("node", "1L AS cluster"), t, 5, 1 << 20, keep).collect()
+        clusters = sets.selectExpr("node", "1L AS cluster")
+        links = ngram_join.verified_links(keep.stored(sets), clusters, t, 5, 1 << 20, keep).collect()
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(found) == {*range(40), 100} and set(found.values()) == {0} and len(links) < 60
 
@@ -333,6 +335,22 @@ def test_warc_faults(spark, tmp_path):
     warc.write(pages, str(tmp_path / "a"), segment_bytes=500)
     rows = warc.read_records(spark, str(tmp_path / "a"))
     assert rows.where("kind = 'continuation'").count() > 5
+    head = bytes(rows.where("segment = 1").first().block)
+    assert head.startswith(b"HTTP/1.1 200 OK")
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("*.gz"))
+    for field in (b"WARC-Date: 2", b"Content-Type: application/http; msgtype=response", b"WARC-Segment-Total-Length: "):
+        assert field in raw
+    twice = spark.createDataFrame([(1, "u", "y" * 500), (2, "u", "y" * 500)], "page_id long, url string, html string")
+    warc.write(twice, str(tmp_path / "b"), date="2020-01-01T00:00:00Z")
+    with Scratch(spark) as keep:
+        found = {r.record: r for r in warc.read(spark, str(tmp_path / "b"), keep).collect()}
+    assert (found["2"].payload_bytes, found["2"].refers_to) == (500, "1")
+    for p in (tmp_path / "b").glob("*.gz"):  # a revisit whose response is not there
+        text = gzip.decompress(p.read_bytes()).replace(b"WARC-Refers-To: <urn:x-page:1>", b"WARC-Refers-To: <urn:x-page:9>")
+        p.write_bytes(gzip.compress(text))
+        (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="nothing to revisit"), Scratch(spark) as keep:
+        warc.read(spark, str(tmp_path / "b"), keep).collect()
     with pytest.raises(Exception, match="segments missing"):
         warc.whole_blocks(rows.where("segment <> 3")).collect()
     for body in (b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n"):

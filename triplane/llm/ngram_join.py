@@ -291,7 +291,8 @@ def _scanned(groups: DataFrame, t: Threshold, *keys: str) -> DataFrame:
 
 
 def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_sets: int, block_shingles: int, keep: Scratch) -> DataFrame:
-    """``sets(node, n_shingles, members)``, ``clusters(node, cluster)`` -> ``a, b``: links with the components of all links.
+    """``sets(node, n_shingles, members)`` (a table of ``keep``, done with here), ``clusters(node, cluster)`` -> ``a, b``:
+    links with the components of all links.
 
     A cluster is dealt into blocks of bounded size. First each block is scanned alone, then one set of each component
     found with those of other blocks. What is one component by then is compared no more: only sets outside
@@ -302,6 +303,7 @@ def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_set
     sizes = sizes.select("cluster", blocks(F.col("n"), F.col("s")).alias("blocks"))
     placed = sets.join(clusters, "node").join(sizes, "cluster").withColumn("block", dealt(F.col("blocks")))
     placed = keep.stored(placed.select("node", "cluster", "n_shingles", "members", "blocks", "block"))
+    keep.drop(sets)
     links = cut(_scanned(placed.select("node", "cluster", "block", "members"), t, "cluster", "block"))
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
@@ -331,7 +333,7 @@ def verified_links(sets: DataFrame, clusters: DataFrame, t: Threshold, block_set
 
 def jaccard_components(
     docs: DataFrame, num: int = 90, den: int = 100, k: int = 3, key: str = "doc_id", text: str = "text",
-    block_sets: int = 2000, block_shingles: int = 4_000_000, light: int | None = None,
+    block_sets: int = 500, block_shingles: int = 4_000_000, light: int | None = None,
 ) -> DataFrame:
     """``key, n_shingles, component_id``: the least key reachable by links, one row per row of ``docs``.
 
