@@ -343,14 +343,14 @@ def test_warc_faults(spark, tmp_path):
     twice = spark.createDataFrame([(1, "u", "y" * 500), (2, "u", "y" * 500)], "page_id long, url string, html string")
     warc.write(twice, str(tmp_path / "b"), date="2020-01-01T00:00:00Z")
     with Scratch(spark) as keep:
-        found = {r.record: r for r in warc.read(spark, str(tmp_path / "b"), keep).collect()}
+        found = {r.record: r for r in warc.read(warc.read_records(spark, str(tmp_path / "b")), keep).collect()}
     assert (found["2"].payload_bytes, found["2"].refers_to) == (500, "1")
     for p in (tmp_path / "b").glob("*.gz"):  # a revisit whose response is not there
         text = gzip.decompress(p.read_bytes()).replace(b"WARC-Refers-To: <urn:x-page:1>", b"WARC-Refers-To: <urn:x-page:9>")
         p.write_bytes(gzip.compress(text))
         (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
     with pytest.raises(Exception, match="nothing to revisit"), Scratch(spark) as keep:
-        warc.read(spark, str(tmp_path / "b"), keep).collect()
+        warc.read(warc.read_records(spark, str(tmp_path / "b")), keep).collect()
     with pytest.raises(Exception, match="segments missing"):
         warc.whole_blocks(rows.where("segment <> 3")).collect()
     for body in (b"5\r\nabc\r\n0\r\n\r\n", b"zz\r\n"):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut
+from .common import Scratch, cut, removed, shuffles_removed
 
 END = "\r\n\r\n"
 START = "WARC/1.1\r\n"
@@ -116,8 +116,9 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", html: str = "html
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = planned(pages, key, html, uri, least_revisit).mapInArrow(each, "record binary")
-    rows.select(F.col("record").cast("string")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(folder)
+    with shuffles_removed(pages.sparkSession):
+        rows = planned(pages, key, html, uri, least_revisit).mapInArrow(each, "record binary")
+        rows.select(F.col("record").cast("string")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(folder)
 
 
 FIELDS = "kind string, id string, origin string, segment int, total long, digest string, refers_to string, block binary"
@@ -211,14 +212,12 @@ def whole_blocks(rows: DataFrame) -> DataFrame:
 SALTS = 16
 
 
-def read(spark: SparkSession, folder: str, keep: Scratch) -> DataFrame:
-    """``record, payload_bytes, payload_digest, record_type, refers_to`` (keys as text) from archives, which are parsed
-    once, into a table of ``keep``.
+def read(rows: DataFrame, keep: Scratch) -> DataFrame:
+    """``record, payload_bytes, payload_digest, record_type, refers_to`` (keys as text) from the records of archives.
 
     A response's size and digest are those of its decoded payload, which must match the digest in its header; a
     revisit has those of the decoded payload that it refers to, which must match its own header too. A response
     that many pages revisit is met by so many shares of them."""
-    rows = keep.stored(read_records(spark, folder))
     page = lambda c: F.regexp_extract(c, "^<urn:x-page:(.*)>$", 1)
 
     def checked(found: Column, stated: Column, name: Column) -> Column:
@@ -249,5 +248,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
     with Scratch(spark) as keep:
         folder = keep.folder()
         write(pages, folder, key=key, **options)
-        rows = read(spark, folder, keep).dropDuplicates(["record"])
+        records_table = keep.stored(read_records(spark, folder))  # parsed once
+        removed(spark, folder)
+        rows = read(records_table, keep).dropDuplicates(["record"])
         return cut(rows.select(F.col("record").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
