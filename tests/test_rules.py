@@ -9,7 +9,8 @@ from triplane import output, terms
 from triplane.functions import builtins as B
 from triplane.operators.body import select, solve
 from triplane.plans.fixpoint import RuleError, run
-from triplane.plans.strata import dependencies, findings, strata
+from triplane.output import solution_lines
+from triplane.plans.strata import components, dependencies, findings, strata
 from triplane.rules import Filter, Not, Path, Rule, Set, Transitive, inverse, symmetric
 from triplane.sources.graph import Graph, Mapping, View, annotated, list_facts, reified
 from triplane.streaming.incremental import derived_stream, write_stream
@@ -161,7 +162,12 @@ def value(spark, c):
         (lambda: B.round_half_up(F.lit(-3.5)), -3.0), (lambda: B.ceil(F.lit(-3.7)), -3.0), (lambda: B.floor(F.lit(-3.7)), -4.0), (lambda: B.divide(F.lit(1), F.lit(0)), float("inf")),
         (lambda: B.substr(F.lit("Hello"), F.lit(2), F.lit(3)), "ell"), (lambda: B.substr(F.lit("Hello"), F.lit(0), F.lit(2)), "He"), (lambda: B.substr(F.lit("Hello"), F.lit(3)), "llo"),
         (lambda: B.strlen(F.lit("a😀")), 3), (lambda: B.encode_for_uri(F.lit("a b/é!~*'()")), "a%20b%2F%C3%A9!~*'()"), (lambda: B.before(F.lit("a-b"), F.lit("-")), "a"), (lambda: B.after(F.lit("a-b"), F.lit("x")), ""),
-        (lambda: B.replace(F.lit("aXbx"), "x", "-", "i"), "a-b-"), (lambda: B.regex(F.lit("Hello"), "^hel", "i"), True), (lambda: B.concat(), ""), (lambda: B.lang_matches(F.lit("en-GB"), F.lit("EN")), True),
+        (lambda: B.replace(F.lit("aXbx"), "x", "-", "i"), "a-b-"), (lambda: B.replace(F.lit("a1b2"), "([a-z])([0-9])", "$2$1$3$$$&\\"), "1a$3$a1\\2b$3$b2\\"), (lambda: B.replace(F.lit("a"), "(", "b"), None),
+        (lambda: B.absolute(F.lit("x")), None), (lambda: B.ceil(F.lit("x")), None), (lambda: B.ceil(F.lit(1e300)), 1e300), (lambda: B.divide(F.lit("x"), F.lit(1)), None), (lambda: B.substr(F.lit("Hello"), F.lit("x")), None),
+        (lambda: B.substr(F.lit("Hello"), F.lit(1e30)), ""), (lambda: B.multiply(F.lit("3"), F.lit(2)), 6.0), (lambda: B.add(F.lit("a"), F.lit("b")), "ab"), (lambda: B.add(F.lit("1"), F.lit(2)), "3"), (lambda: B.subtract(F.lit("y"), F.lit(2)), None),
+        (lambda: B.tz(F.lit("2026-05-15Z")), ""), (lambda: B.hours(F.lit("2026-05-15T10:20")), 0.0), (lambda: B.year(F.lit("2026-05-15 and on")), 2026.0), (lambda: B.timezone(F.lit("2026-05-15T10:20:30-0000")), "-PT0S"),
+        (lambda: terms.number_term(F.lit(1234.56)), "1234.56"), (lambda: terms.number_term(F.lit(0.1) + F.lit(0.2)), "0.30000000000000004"), (lambda: terms.number_term(F.lit(-0.000001)), "-0.000001"), (lambda: terms.same_term(F.lit("1"), F.lit("1.0")), False),
+        (lambda: terms.str_lang_dir(F.lit("x"), F.lit("EN"), F.lit("up")), None), (lambda: B.regex(F.lit("Hello"), "^hel", "i"), True), (lambda: B.concat(), ""), (lambda: B.lang_matches(F.lit("en-GB"), F.lit("EN")), True),
         (lambda: B.hours(F.lit("2026-05-15T10:20:30+02:30")), 10.0), (lambda: B.hours(F.lit("2026-05-15")), 0.0), (lambda: B.year(F.lit("no")), None), (lambda: B.seconds(F.lit("2026-05-15T10:20:30.5Z")), 30.5),
         (lambda: B.timezone(F.lit("2026-05-15T10:20:30+02:30")), "PT2H30M"), (lambda: B.timezone(F.lit("2026-05-15T10:20:30Z")), "PT0S"), (lambda: B.timezone(F.lit("2026-05-15T10:20:30")), None), (lambda: B.tz(F.lit("2026-05-15T10:20:30-05:00")), "-05:00"),
         (lambda: B.resolve(F.lit("local"), "http://example/base/"), "http://example/base/local"), (lambda: B.resolve(F.lit("urn:x"), "http://e/"), "urn:x"), (lambda: B.less(F.lit("10"), F.lit("9")), False), (lambda: B.truth(F.lit("false"), "string"), False),
@@ -189,3 +195,16 @@ def test_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(7, "here")]
     with pytest.raises(ValueError, match="NOT"):
         derived_stream(g, Rule(("?e", "x", 1), [("?e", "by", "?u"), Not(("?u", "home", "?h"))]), "by", arriving)
+
+
+def test_components_of_many_rules():
+    """Thousands of rules: heads are looked up by predicate, and cycles found in one walk."""
+    rules = [Rule(("?x", f"p{i + 1}", "?y"), [("?x", f"p{i}", "?y")]) for i in range(3000)] + [Rule(("?x", "p500", "?y"), [("?x", "p900", "?y")])]
+    edges = dependencies(rules)
+    of = components(len(rules), edges)
+    assert len(edges) == 3001 and len(set(of)) == 3001 - 400 and of[500] == of[899] == of[3000] == 500 and of[499] == 499
+
+
+def test_solution_lines(spark):
+    rows = spark.createDataFrame([("b", None), ("a", "1")], "y string, x string")
+    assert [r.line for r in solution_lines(rows).collect()] == ["?x = 1; ?y = a", "?x = UNDEF; ?y = b"]

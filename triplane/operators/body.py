@@ -7,7 +7,7 @@ while the plan is built, and Catalyst orders the joins and pushes the filters do
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +46,20 @@ def _constant_test(c: Column, kind: str | None, data_type: T.DataType, value: ob
     return c == F.lit(value)
 
 
+def _narrowed(view: View, p: Pattern) -> View:
+    """A view's facts that meet a pattern's constant subject and object, tested on native values."""
+    types = {f.name: f.dataType for f in view.rows.schema.fields}
+    for c, kind, x in (("s", view.s, p.s), ("o", view.o, p.o)):
+        if not is_variable(x):
+            view = replace(view, rows=view.rows.where(_constant_test(F.col(c), kind, types[c], x)), origin=None)
+    return view
+
+
 def pattern_rows(p: Pattern, graph: Graph, view: View | None = None) -> Solutions:
     """Solutions of one triple pattern."""
     if is_variable(p.p):
-        rows, kinds = graph.triples(), {"s": "term", "p": "term", "o": "term"}
-        rows = rows.withColumn("p", F.concat(F.lit("<"), "p", F.lit(">")))
+        rows = graph.triples(narrow=lambda v: _narrowed(v, p)).withColumn("p", F.concat(F.lit("<"), "p", F.lit(">")))
+        kinds = {"s": "term", "p": "term", "o": "term"}
         places = (("s", p.s), ("p", p.p), ("o", p.o))
     else:
         view = view or graph.view(p.p)
@@ -122,12 +131,10 @@ def join(left: Solutions, right: Solutions) -> Solutions:
         return right
     shared = [v for v in right.kinds if v in left.kinds]
     left, right = _aligned(left, right, shared)
-    extra = [c for c in right.rows.columns if c == "_any"]
-    r = right.rows.drop(*extra).limit(1) if extra and not shared else right.rows
-    if extra:
+    if "_any" in right.rows.columns:
         # a pattern of constants only: keep the rows if it holds
         return Solutions(left.rows.join(right.rows.limit(1).select(F.lit(1).alias("_holds")), how="left_semi"), left.kinds)
-    rows = left.rows.join(r, shared, "inner") if shared else left.rows.crossJoin(r)
+    rows = left.rows.join(right.rows, shared, "inner") if shared else left.rows.crossJoin(right.rows)
     return Solutions(rows, left.kinds | right.kinds)
 
 
@@ -165,14 +172,38 @@ def anti(left: Solutions, inner: Not, graph: Graph) -> Solutions:
     return Solutions(left.rows.join(inside, condition, "left_anti"), left.kinds)
 
 
-def assign(left: Solutions, x: Set, graph: Graph) -> Solutions:
-    """Binds a variable; if it is bound, keeps the rows where the value is equal."""
+def assign(left: Solutions, sets: Sequence[Set], graph: Graph) -> Solutions:
+    """Binds variables by values that don't use each other; if one is bound, keeps the rows where the value is equal.
+
+    New values come as a generated row: it is made once, where a projection would be worked out again in
+    each filter on it."""
     rows = left.rows if left.rows is not None else graph.spark.range(1).select(F.lit(1).alias("_any"))
-    value = x.value(Variables())
-    if x.name.lstrip("?") in left.kinds:
-        return Solutions(rows.where(F.coalesce(F.col(x.name.lstrip("?")) == value, F.lit(False))), left.kinds)
-    v = x.name.lstrip("?")
-    return Solutions(rows.withColumn(v, value).where(F.col(v).isNotNull()), left.kinds | {v: "term" if x.term else None})
+    kinds, new = dict(left.kinds), []
+    for x in sets:
+        v, value = x.name.lstrip("?"), x.value(Variables())
+        if v in left.kinds:
+            rows = rows.where(F.coalesce(F.col(v) == value, F.lit(False)))
+        else:
+            new.append(value.alias(v))
+            kinds[v] = "term" if x.term else None
+    if new:
+        made = rows.select("*", F.inline(F.array(F.struct(*new))))
+        for x in sets:
+            made = made.where(F.col(x.name.lstrip("?")).isNotNull())
+        rows = made
+    return Solutions(rows, kinds)
+
+
+def _sets(clauses: list, i: int, bound: dict[str, str | None]) -> list[Set]:
+    """The assignments from i on whose values use what is bound before them all."""
+    out: list[Set] = []
+    for x in clauses[i:]:
+        if not isinstance(x, Set) or (out and (not used(x.value) <= set(bound) or x.name.lstrip("?") in bound or any(x.name == y.name for y in out))):
+            break
+        out.append(x)
+        if x.name.lstrip("?") in bound:
+            break
+    return out
 
 
 def _star(clauses: list, i: int, done: set[int], graph: Graph, views: Views | None) -> list:
@@ -213,7 +244,9 @@ def solve(body: Sequence, graph: Graph, views: Views | None = None) -> Solutions
         elif isinstance(x, Not):
             out = anti(out, x, graph)
         elif isinstance(x, Set):
-            out = assign(out, x, graph)
+            run = _sets(clauses, i, out.kinds)
+            done.update(range(i, i + len(run)))
+            out = assign(out, run, graph)
         else:
             raise TypeError(f"no clause: {x!r}")
     return out

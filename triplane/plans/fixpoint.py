@@ -82,15 +82,16 @@ def _first_wins(rule: Rule, found: Solutions) -> Solutions:
 
 
 def transitive_closure(view: View, max_rounds: int = 64) -> View:
-    """All pairs joined by one or more steps, by squaring: a path of length n takes about log2(n) rounds."""
-    rows = cut(view.rows.select("s", "o").distinct())
+    """All pairs joined by one or more steps: what a round found is joined with all there is, on either side, so paths
+    double in length and a path of length n takes about log2(n) rounds, without joining old pairs again."""
+    rows = new = cut(view.rows.select("s", "o").distinct())
     for _ in range(max_rounds):
-        a, b = rows.select("s", F.col("o").alias("m")), rows.select(F.col("s").alias("m"), "o")
-        more = a.join(b, "m").select("s", "o").distinct().join(rows, ["s", "o"], "left_anti")
-        more = cut(more)
-        if more.limit(1).count() == 0:
+        ahead = new.join(rows.select(F.col("s").alias("o"), F.col("o").alias("to")), "o").select("s", F.col("to").alias("o"))
+        back = rows.join(new.select(F.col("s").alias("o"), F.col("o").alias("to")), "o").select("s", F.col("to").alias("o"))
+        new = cut(ahead.union(back).distinct().join(rows, ["s", "o"], "left_anti"))
+        if new.limit(1).count() == 0:
             return replace(view, rows=rows)
-        rows = cut(rows.union(more))
+        rows = cut(rows.union(new))
     raise RuleError("transitive closure did not settle")
 
 

@@ -161,9 +161,9 @@ def filter_regex(g: Graph) -> DataFrame:
 # Negation
 
 
-@query("SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+@query("SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')", "customer", "orders")
 def not_anti_join(g: Graph) -> DataFrame:
-    return select([("?c", "customerName", "?n"), Not(("?o", "orderedBy", "?c"))], g, "c")
+    return select([("?c", "customerName", "?n"), Not(("?o", "orderedBy", "?c"), ("?o", "priority", "1-URGENT"))], g, "c")
 
 
 @query("SELECT DISTINCT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer", "orders")
@@ -312,11 +312,14 @@ def run_once_assign_not(g: Graph) -> DataFrame:
     return run(g, [stated, default]).select([("?o", "fee", "?half")])
 
 
-@query("SELECT DISTINCT n_nationkey AS n, n_regionkey AS r FROM nation", "nation")
+@query("SELECT DISTINCT c_custkey AS c, n_regionkey AS r, false AS made FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 UNION ALL SELECT DISTINCT c_custkey, n_regionkey, true FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal <= 0", "customer", "nation")
 def equal_after_derivation(g: Graph) -> DataFrame:
-    """A rule that repeats what is known adds nothing."""
-    out = run(g, [Rule(("?n", "inRegion", "?r"), [("?n", "inRegion", "?r")])])
-    return out.select([("?n", "inRegion", "?r")])
+    """A rule that repeats what is known adds nothing: only what isn't known yet is made."""
+    body = [("?c", "customerNation", "?n"), ("?n", "inRegion", "?r")]
+    known = run(g, [Rule(("?c", "customerRegion", "?r"), [*body, ("?c", "balance", "?b"), Filter(lambda v: v.b > 0)])]).graph
+    out = run(known, [Rule(("?c", "customerRegion", "?r"), body)])
+    made = out.made["customerRegion"].rows.select(F.col("s").alias("c"), F.col("o").alias("r"), F.lit(True).alias("made"))
+    return out.select([("?c", "customerRegion", "?r")]).join(made, ["c", "r"], "left").select("c", "r", F.coalesce("made", F.lit(False)).alias("made"))
 
 
 @query(f"WITH e AS ({STEPS}), r AS ({REACH}) SELECT x, y FROM r EXCEPT SELECT x, y FROM e", "conversations")
@@ -338,11 +341,12 @@ def rule_dependencies(g: Graph) -> DataFrame:
     return g.spark.createDataFrame(rows, "rule int, needs int, predicate string, negative boolean")
 
 
-@query("SELECT DISTINCT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", "nation")
+@query("SELECT DISTINCT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", "region")
 def imports_merge(g: Graph) -> DataFrame:
-    """Two sources, each with its own facts and rules, merged."""
-    spark_dir = g.view("nationName").origin[0].table.inputFiles()[0].rsplit("/nation.parquet", 1)[0]
-    other = facts(g.spark, spark_dir, "region")
+    """Two sources, each with its own facts, merged."""
+    own, other = (Graph(g.spark).with_view(p, g.view(p)) for p in ("nationName", "regionName"))
+    own = own.with_view("inRegion", g.view("inRegion"))
+    g = own
     rules = [Rule(("?n", "regionOf", "?rn"), [("?n", "inRegion", "?r"), ("?r", "regionName", "?rn")])]
     return run(g.with_graph(other), rules).select([("?n", "nationName", "?nation"), ("?n", "regionOf", "?region")], "nation", "region")
 
@@ -426,6 +430,38 @@ def collection_list(g: Graph) -> DataFrame:
     return select([Path("<x>", ("members", terms.REST, terms.FIRST), "?second")], g)
 
 
+MALFORMED = """SELECT DISTINCT o_orderkey AS o, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS q, CAST(NULL AS VARCHAR) AS cut, CAST(NULL AS BOOLEAN) AS bad,
+    replace(o_orderpriority, '-', '$9') AS marked, CAST(NULL AS DOUBLE) AS y, CAST(year(o_orderdate) AS DOUBLE) AS y2, CAST(0 AS DOUBLE) AS h, '' AS none, '+0230' AS zone, 'PT2H30M' AS duration FROM orders"""
+
+
+@query(MALFORMED, "orders")
+def malformed_values(g: Graph) -> DataFrame:
+    """What is no number, expression or date gives null, not an error; dates may go on, zones lack a colon."""
+    rows = select([("?o", "priority", "?p"), ("?o", "orderDate", "?at")], g, "o", "p", "at")
+    date, p = F.date_format("at", "yyyy-MM-dd"), F.col("p")
+    time = F.concat(date, F.lit("T10:00:00+0230"))
+    return rows.select(
+        "o", B.absolute(p).alias("a"), B.divide(p, F.lit(2)).alias("q"), B.substr(p, p).alias("cut"), B.regex(p, "(").alias("bad"), B.replace(p, "-", "$9").alias("marked"), B.year(p).alias("y"),
+        B.year(F.concat(date, F.lit(" and more"))).alias("y2"), B.hours(date).alias("h"), B.tz(F.concat(date, F.lit("Z"))).alias("none"), B.tz(time).alias("zone"), B.timezone(time).alias("duration"),
+    )
+
+
+MADE = """SELECT DISTINCT doc_id AS d, '"' || source || '"@' || lang AS tagged, '"' || source || '"@' || lang || '--ltr' AS directed, '"' || n_chars || '"^^<http://www.w3.org/2001/XMLSchema#long>' AS typed,
+    '_:' || source AS node, true AS tag, true AS dir, false AS untagged, lang = 'en' AS same, CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END AS size FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL"""
+
+
+@query(MADE, "documents")
+def made_terms(g: Graph) -> DataFrame:
+    """Literals with a language, a direction or a datatype, and blank nodes, made from values."""
+    fields = {
+        "tagged": lambda v: terms.str_lang(v.source, v.lang), "directed": lambda v: terms.str_lang_dir(v.source, v.lang, F.lit("LTR")), "typed": lambda v: terms.str_datatype(v.n.cast("string"), F.lit(f"<{terms.XSD}long>")),
+        "node": lambda v: terms.blank_node(v.source), "tag": lambda v: terms.has_lang(terms.str_lang(v.source, v.lang)), "dir": lambda v: terms.has_lang_dir(terms.str_lang_dir(v.source, v.lang, F.lit("rtl"))),
+        "untagged": lambda v: terms.has_lang_dir(terms.str_lang(v.source, v.lang)), "same": lambda v: terms.same_term(terms.str_lang(v.source, v.lang), terms.str_lang(v.source, F.lit("EN"))),
+        "size": lambda v: B.if_(v.n > 1000, "boolean", F.lit("long"), F.lit("short")),
+    }
+    return select([("?d", "language", "?lang"), ("?d", "source", "?source"), ("?d", "characters", "?n"), *(Set(k, f) for k, f in fields.items())], g, "d", *fields)
+
+
 @query("SELECT DISTINCT p_partkey AS p, reverse(p_name) AS back FROM part", "part")
 def custom_function(g: Graph) -> DataFrame:
     return select([("?p", "partName", "?n"), Set("back", lambda v: F.reverse(v.n))], g, "p", "back")

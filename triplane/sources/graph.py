@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -146,14 +146,22 @@ class Graph:
             views.append(View(self._loose.where(F.col("p") == predicate).select("s", "o")))
         return together(views) if views else View(self.spark.createDataFrame([], "s string, o string"))
 
-    def triples(self, predicates: Sequence[str] | None = None) -> DataFrame:
-        """Everything as term triples (s, p, o), for patterns with a variable predicate and for output."""
-        parts = [self.view(p).as_terms().rows.withColumn("p", F.lit(p)).select("s", "p", "o") for p in (self._views if predicates is None else predicates)]
+    def triples(self, predicates: Sequence[str] | None = None, narrow: Callable[[View], View] = lambda v: v) -> DataFrame:
+        """Everything as term triples (s, p, o), for patterns with a variable predicate and for output. ``narrow``
+        takes from each view what it is asked for while the values are native. Predicates share no triples, so
+        each view is made distinct alone, before its values become text."""
+        parts = []
+        for p in self._views if predicates is None else predicates:
+            view = narrow(self.view(p))
+            view = replace(view, rows=view.rows.select("s", "o").distinct()) if view.origin is None else view
+            parts.append(view.as_terms().rows.withColumn("p", F.lit(p)).select("s", "p", "o"))
         if self._loose is not None and predicates is None:
-            parts.append(self._loose.where(~F.col("p").isin(list(self._views))) if self._views else self._loose)
+            loose = self._loose.where(~F.col("p").isin(list(self._views))) if self._views else self._loose
+            rows = narrow(View(loose.select("s", "o", "p"))).rows
+            parts.append(rows.select("s", "p", "o").distinct())
         if not parts:
             return self.spark.createDataFrame([], "s string, p string, o string")
-        return reduce(DataFrame.union, parts).distinct()
+        return reduce(DataFrame.union, parts)
 
 
 def constant(x: object) -> str:

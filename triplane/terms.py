@@ -66,13 +66,19 @@ def _plain(text: str) -> str:
 
 @F.arrow_udf(T.StringType())
 def _number_text(column: pa.Array) -> pa.Array:
+    if column.null_count == len(column):
+        return pa.nulls(len(column), pa.string())
     return pa.array([None if x is None else number_text(x) for x in column.to_pylist()], pa.string())
 
 
 def number_term(x: Column) -> Column:
-    """Text of a double column. Whole numbers below 2**53 stay in the JVM; only others need the shortest text."""
+    """Text of a double column. Whole numbers below 2**53, and decimals of at most 6 places and 15 digits (no
+    shorter text than theirs can be the same double), are written in the JVM; Python sees only what is left."""
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(2.0**53))
-    return F.when(whole, F.format_string("%d", x.cast("long"))).otherwise(_number_text(x))
+    short = (F.abs(x) < F.lit(1e9)) & (F.abs(x) >= F.lit(1e-6)) & (F.round(x, 6) == x)
+    plain = F.regexp_replace(F.when(short, x).cast("decimal(16,6)").cast("string"), "0+$", "")
+    rest = F.when(~(whole | short), x)
+    return F.when(whole, F.format_string("%d", x.cast("long"))).when(short, plain).otherwise(_number_text(rest))
 
 
 def of_value(c: Column, kind: T.DataType) -> Column:
@@ -145,3 +151,38 @@ def triple(s: Column, p: Column, o: Column) -> Column:
 def part(t: Column, position: int) -> Column:
     """Subject (0), predicate (1) or object (2) of a triple term, null for other terms."""
     return F.when(is_triple(t), F.get_json_object(t, f"$[{position}]"))
+
+
+def blank_node(label: Column | None = None) -> Column:
+    """The blank node of a label, the same wherever the label is; without one a new node for each row (assign it in a
+    ``Set`` that is volatile, so that it is made once)."""
+    return F.concat(F.lit("_:"), F.regexp_replace(label, "^_:", "") if label is not None else F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def str_lang(text: Column, tag: Column) -> Column:
+    """A literal of a language; null without a tag."""
+    return F.when(tag != "", F.concat(F.lit('"'), text, F.lit('"@'), F.lower(tag)))
+
+
+def str_lang_dir(text: Column, tag: Column, direction: Column) -> Column:
+    """A literal of a language and a direction, ltr or rtl; null for others."""
+    direction = F.lower(direction)
+    return F.when(direction.isin("ltr", "rtl"), F.concat(str_lang(text, tag), F.lit("--"), direction))
+
+
+def str_datatype(text: Column, datatype_iri: Column) -> Column:
+    """A literal of a datatype, given as an IRI with or without brackets."""
+    return F.concat(F.lit('"'), text, F.lit('"^^<'), F.regexp_replace(datatype_iri, "^<|>$", ""), F.lit(">"))
+
+
+def has_lang(t: Column) -> Column:
+    return lang(t) != ""
+
+
+def has_lang_dir(t: Column) -> Column:
+    return lang_dir(t) != ""
+
+
+def same_term(a: Column, b: Column) -> Column:
+    """Are two terms the very same, not only equal in value?"""
+    return a == b
