@@ -156,11 +156,14 @@ def _regression(domains: tuple[str, ...], place: np.ndarray, x: np.ndarray, y: n
         target, penalty = np.eye(len(domains))[y], np.full((x.shape[1], 1), ridge)
         penalty[-1] = 1e-3
         step = np.linalg.inv(0.5 * (x.T @ x).astype(float) + np.diag(penalty[:, 0]))
-        for _ in range(steps):
-            p = x @ weights.astype(np.float32)
+        ahead, speed = weights, 1.0
+        for _ in range(steps):  # with momentum, started anew where it points downhill
+            p = x @ ahead.astype(np.float32)
             p = np.exp(p - p.max(1, keepdims=True))
-            move = step @ (x.T @ (target - p / p.sum(1, keepdims=True)).astype(np.float32) - penalty * weights)
-            weights += move
+            new = ahead + step @ (x.T @ (target - p / p.sum(1, keepdims=True)).astype(np.float32) - penalty * ahead)
+            move = new - weights
+            speed, before = (1.0, 1.0) if ((ahead - new) * move).sum() > 0 else ((1 + np.sqrt(1 + 4 * speed * speed)) / 2, speed)
+            weights, ahead = new, new + (before - 1) / speed * move
             if np.abs(move).max() < 1e-5:
                 break
     return Classifier(domains, place, weights)
