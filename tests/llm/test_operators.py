@@ -156,7 +156,7 @@ def test_decontamination(spark, docs, rows):
     source = words(base[10])
     items = [(1, b" ".join(source[32:72]).decode().upper()), (2, b" ".join(source[40:47]).decode()), (3, " ".join(prose(30))), (4, None), (5, ""), (6, "one two three"), (7, " ".join(prose(10)) + " " + b" ".join(source[30:90]).decode()), (1, " ".join(prose(12)))]
     items.append((8, base[30][5000:5400]))
-    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id int, text string"), block=3)
+    got = decontam.contaminated(docs, spark.createDataFrame(items, "item_id int, text string"))
     want = []
     for key, text in rows:
         for item, body in items:

@@ -93,6 +93,12 @@ class Words:
             self.hash = mix(np.add.reduceat(values, heads) + length.astype(U64))
 
 
+def sequence(h: np.ndarray) -> np.uint64:
+    """Hash of a whole sequence of word hashes that is too short for a shingle."""
+    terms = np.concatenate([h * MULTIPLIERS[: len(h)], np.array([len(h)], U64)])
+    return mix(np.add.reduce(terms, keepdims=True) ^ MULTIPLIERS[63])[0]
+
+
 def shingles(words: Words, k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingles of each document; fewer words are one whole sequence."""
     h, at = words.hash, words.at
@@ -106,8 +112,7 @@ def shingles(words: Words, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            terms = np.concatenate([h[a:b] * MULTIPLIERS[: b - a], np.array([b - a], U64)])
-            out.append(mix(np.add.reduce(terms, keepdims=True) ^ MULTIPLIERS[63]))
+            out.append(np.array([sequence(h[a:b])], U64))
         else:
             out.append(np.zeros(0, U64))
     return out
