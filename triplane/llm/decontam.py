@@ -63,7 +63,7 @@ class Search:
 
     def tagged(self, signature: np.ndarray, size_class: int) -> np.ndarray:
         """Equal only for equal minima of one hash and class."""
-        return mix((signature ^ self.tag[None, :]) + U64(size_class) * MULTIPLIERS[0])
+        return mix((signature ^ self.tag[None, :]) + MULTIPLIERS[:1] * U64(size_class))
 
     def looked_up(self, values: np.ndarray) -> np.ndarray:
         """Shingles by which items of less than a block are found."""
