@@ -66,8 +66,8 @@ class Profiles:
 
 
 def learn(docs: DataFrame, top: int = 400, text: str = "text", lang: str = "lang") -> Profiles:
-    """Profiles from all texts with a language. Each batch counts its grams by language first; what
-    reaches the driver is ``top`` grams for each language."""
+    """Profiles from all texts with a language (a null text or language teaches nothing). Each batch counts its
+    grams by language first, each partition keeps the ``top`` of a language, and so many reach the driver."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
@@ -86,10 +86,11 @@ def learn(docs: DataFrame, top: int = 400, text: str = "text", lang: str = "lang
 
     rows = docs.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = arrow_map(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1)
+    # a limit right on the row number lets Spark keep the first ones of each partition before the shuffle by language
+    best = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
     table: dict[str, list[tuple[int, int]]] = {}
-    for r in best.where(F.col("rank") < top).collect():
-        table.setdefault(r["lang"], []).append((r["gram"], r["rank"]))
+    for r in best.collect():
+        table.setdefault(r["lang"], []).append((r["gram"], r["rank"] - 1))
     langs = tuple(sorted(table))
     pairs = [np.array(sorted(table[k]), np.int64) for k in langs]
     return Profiles(top, langs, tuple(p[:, 0].astype(np.uint32) for p in pairs), tuple(p[:, 1] for p in pairs))
