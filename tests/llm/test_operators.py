@@ -375,6 +375,21 @@ def test_licences(spark):
     assert license_scan.scan(made.where("false")).count() == 0
 
 
+def test_statements_that_can_match(spark):
+    """The choice of statements loses none that reaches the limit, whatever words it has."""
+    from pyspark.sql import functions as F
+
+    bodies = [b for _, b in license_scan.TEMPLATES]
+    said = [" ".join(w for w, keep in zip(b.rstrip(".").split(), RNG.random(99) < share, strict=False) if keep) + end for b in bodies for share in (0.5, 0.7, 0.9, 1) for end in ("", ".")]
+    said += ["Released under the MIT.", "released_mit under the license", "(Licensed under ISC)", "and are that with without conditions met", "\u212aind of a license"]
+    table = spark.createDataFrame([(x,) for x in sorted(set(said))], "statement string")
+    chosen = table.select(F.explode(license_scan.statements(F.col("statement"), 0.7)).alias("statement"))
+    every = sorted(map(tuple, license_scan.matched(table, 0.7).collect()))
+    assert len(every) > 60 and ("Released under the MIT.", "MIT", 0.9612) in every
+    assert sorted(map(tuple, license_scan.matched(chosen, 0.7).collect())) == every
+    assert license_scan.telling((), 0.7) == ([], [])
+
+
 def test_licence_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     link = duckdb.connect()

@@ -3,6 +3,9 @@ to templates, then inheritance from the nearest ancestor directory that has a li
 
 from __future__ import annotations
 
+import collections
+import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +40,10 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
 )
-#: What a statement must hold to be compared at all.
+#: What a text must hold for its headers and licence texts to be compared.
 CUE = "(?i)licen[sc]|permi(t|ssion)|redistribut|public domain|spdx"
+#: Common words; a choice of tokens takes others first.
+COMMON = frozenset("a and any are by for in is may new not of or that the this to under use with without work you".split())
 LICENCE_FILE = "(?i)^(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 #: The same on a token. A window without one resembles no template.
 TOKEN_CUE = "licen[sc]|permi(t|ssion)|redistribut|^domain$|spdx"
@@ -59,9 +64,50 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(plain, "[.]+( |$)", " "), " "), lambda x: x != "")
 
 
-def statements(text: Column) -> Column:
-    """The lines and sentences of a whole text that hold a cue."""
-    return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(CUE))
+def telling(templates: tuple[tuple[str, str], ...], least: float) -> tuple[list[str], list[list[str]]]:
+    """What a text holds if its cosine to some template is ``least``: one of the first tokens, or all of one of
+    the groups. Without these, what it shares of each template's vector is shorter than ``least``, which bounds
+    the cosine (Cauchy-Schwarz). Common words are only in groups, unless a template has little else."""
+    bags = [collections.Counter(x for x in re.sub("[.]+( |$)", " ", re.sub(NOT_TOKEN, " ", body.lower())).split(" ") if x) for _, body in templates]
+    df = collections.Counter(token for bag in bags for token in bag)
+    single: set[str] = set()
+    groups: list[list[str]] = []
+    for bag in bags:
+        square = {token: (tf * (math.log((1 + len(bags)) / (1 + df[token])) + 1)) ** 2 for token, tf in bag.items()}
+        enough = (least - 1e-3) ** 2 * sum(square.values())
+        left = sum(x for token, x in square.items() if token not in single)
+        for token in sorted(set(bag) - single, key=lambda x: (x in COMMON, -square[x], x)):
+            if left < enough:
+                break
+            needed = sorted(x for x in bag if x not in single and left - square[x] < enough)
+            if token in COMMON and needed:
+                groups.append(needed)
+                break
+            single.add(token)
+            left -= square[token]
+    return sorted(single), groups
+
+
+def _any_of(names: list[str]) -> str:
+    """A regular expression of any of some tokens, by their first letters, so that most places cost one look."""
+    heads: dict[str, list[str]] = {}
+    for x in names:
+        heads.setdefault(x[0], []).append(re.escape(x[1:]))
+    branches = "|".join(f"{k}(?:{'|'.join(v)})" for k, v in heads.items())
+    return f"(?=[{''.join(heads)}])(?<![a-z0-9.+-])(?:{branches})(?![a-z0-9+-])"
+
+
+def statements(text: Column, least: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
+    """The lines and sentences of a whole text that can reach ``least`` with a template."""
+    single, groups = telling(templates, least)
+
+    def reaches(x: Column) -> Column:
+        found = F.lower(x).rlike(_any_of(single)) if single else F.lit(False)
+        for names in groups:
+            found = found | functools.reduce(lambda a, b: a & b, (F.lower(x).contains(name) for name in sorted(names, key=len, reverse=True)))
+        return found
+
+    return F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), reaches)
 
 
 def _sizes(lengths: list[int], ratio: float = 1.4) -> list[int]:
@@ -179,7 +225,7 @@ def scan(files: DataFrame, least: float = 0.7, key: str = "doc_id", path: str =
     Statements are compared once for each distinct text, and directories are resolved once each, so neither a
     notice nor a directory that a third of all files share makes a large group.
     """
-    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.explode_outer(statements(F.col(text))).alias("statement"))
+    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.explode_outer(statements(F.col(text), least)).alias("statement"))
     cued = rows.where("statement IS NOT NULL").distinct()
     best = matched(cued.select("statement").distinct(), least)
     rank = F.struct("score", F.col("statement"))
@@ -223,10 +269,9 @@ def document_path(key: str = "doc_id") -> Column:
 
 
 def oracle(least: float = 0.7, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
-    """The same scan of ``documents`` in DuckDB SQL."""
+    """The same scan of ``documents`` in DuckDB SQL, for texts without full headers; every statement is compared."""
     values = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(templates))
     toks = lambda c: f"list_filter(string_split(regexp_replace(regexp_replace(lower({c}), '{NOT_TOKEN}', ' ', 'g'), '[.]+( |$)', ' ', 'g'), ' '), lambda x: x <> '')"
-    cue = CUE
     return f"""
 WITH templates(template, licence, body) AS (VALUES {values}),
 files AS (SELECT DISTINCT doc_id, CASE
@@ -235,8 +280,7 @@ files AS (SELECT DISTINCT doc_id, CASE
     WHEN doc_id % 20 = 0 THEN concat_ws('/', CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 20 AS VARCHAR), 'LICENSE')
     ELSE concat_ws('/', CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id // 100 AS VARCHAR), CAST(doc_id // 20 AS VARCHAR), CAST(doc_id AS VARCHAR) || '.txt') END AS path, text FROM documents),
 cued AS (SELECT DISTINCT doc_id, path, statement FROM
-    (SELECT doc_id, path, unnest(string_split(regexp_replace(text, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM files)
-    WHERE regexp_matches(statement, '{cue}')),
+    (SELECT doc_id, path, unnest(string_split(regexp_replace(text, '([.!?;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))) AS statement FROM files)),
 tdf AS (SELECT token, count(*) AS df FROM (SELECT template, unnest(list_distinct({toks("body")})) AS token FROM templates) GROUP BY token),
 idf AS (SELECT token, ln((1.0 + {len(templates)}) / (1.0 + df)) + 1 AS idf FROM tdf),
 tw AS (SELECT template, licence, token, count(*) * max(idf) AS w FROM (SELECT template, licence, unnest({toks("body")}) AS token FROM templates) JOIN idf USING (token) GROUP BY ALL),
