@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import license_headers
+from .common import Scratch, cut
 
 # Licence identifiers and the usual wording of their notices.
 TEMPLATES = (
@@ -222,17 +223,19 @@ def scan(files: DataFrame, least: float = 0.7, key: str = "doc_id", path: str =
     inherits nothing; null and empty texts have no statement. A null key stays null; rows that repeat
     (key, path) count once. Other columns aren't read. An empty table gives an empty one.
 
-    Statements are compared once for each distinct text, and directories are resolved once each, so neither a
+    What each file has of its own is made once, as a checkpoint. Statements are compared once for each distinct text, and directories are resolved once each, so neither a
     notice nor a directory that a third of all files share makes a large group.
     """
-    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.explode_outer(statements(F.col(text), least)).alias("statement"))
-    cued = rows.where("statement IS NOT NULL").distinct()
-    best = matched(cued.select("statement").distinct(), least)
-    rank = F.struct("score", F.col("statement"))
-    said = cued.join(best, "statement").groupBy("key", "path").agg(F.max_by(F.struct("licence", "score"), rank).alias("hit")).select("key", "path", F.lit(0).alias("whole"), "hit")
-    named = files.where(F.col(text).rlike(CUE)).select(F.col(key).alias("key"), F.col(path).alias("path"), text_id(text).alias("text_id"))
-    whole = named.join(headers(files, text, least, license_headers.templates()), "text_id").select("key", "path", F.lit(1).alias("whole"), F.struct("licence", "score").alias("hit"))
-    own = said.union(whole).groupBy("key", "path").agg(F.max_by("hit", F.struct("whole", F.col("hit.score"), F.col("hit.licence"))).alias("hit")).select("key", "path", F.col("hit.licence").alias("own"), F.col("hit.score").alias("score"))
+    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.explode(statements(F.col(text), least)).alias("statement"))
+    with Scratch(files.sparkSession) as scratch:
+        cued = scratch.stored(rows.distinct())
+        best = matched(cued.select("statement").distinct(), least)
+        rank = F.struct("score", F.col("statement"))
+        said = cued.join(best, "statement").groupBy("key", "path").agg(F.max_by(F.struct("licence", "score"), rank).alias("hit")).select("key", "path", F.lit(0).alias("whole"), "hit")
+        named = files.where(F.col(text).rlike(CUE)).select(F.col(key).alias("key"), F.col(path).alias("path"), text_id(text).alias("text_id"))
+        whole = named.join(headers(files, text, least, license_headers.templates()), "text_id").select("key", "path", F.lit(1).alias("whole"), F.struct("licence", "score").alias("hit"))
+        best_of = F.max_by("hit", F.struct("whole", F.col("hit.score"), F.col("hit.licence"))).alias("hit")
+        own = cut(said.union(whole).groupBy("key", "path").agg(best_of).select("key", "path", F.col("hit.licence").alias("own"), F.col("hit.score").alias("score")))
     everyone = files.select(F.col(key).alias("key"), F.col(path).alias("path")).distinct()
     same = everyone["key"].eqNullSafe(own["key"]) & everyone["path"].eqNullSafe(own["path"])
     all_files = everyone.join(own, same, "left").select(everyone["key"], everyone["path"], "own", "score").withColumn("dir", directory(F.col("path")))
