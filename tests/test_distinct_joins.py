@@ -36,3 +36,15 @@ def test_theta_join_without_a_distinct_over_its_rows(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # no distinct over all rows
+
+
+def test_path_without_a_distinct_over_its_rows(spark, monkeypatch):
+    customers = [(k, f"c{k}", k % 3, 1.0, "S") for k in range(15)] + [(3, "again", 1, 1.0, "S"), (4, "c4", 1, 1.0, "S"), (5, "none", None, 1.0, "S"), (None, "null", 1, 1.0, "S")]
+    suppliers = [(k, f"s{k}", k % 4, 1.0) for k in range(9)] + [(2, "again", 0, 1.0), (2, "third", 1, 1.0), (6, "s6", None, 1.0)]
+    data = {"customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", customers), "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", suppliers)}
+    g, want = against_sql(spark, monkeypatch, "path_group", data)
+    got = body.select([body.Path("?s", ("supplierNation", "^customerNation"), "?c")], g)
+    assert sorted((r.s, r.c) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    paths = body.select([body.Path("?x", ("supplierNation", "^supplierNation"), "?x")], g)
+    assert sorted(r.x for r in paths.collect()) == list(range(9))
