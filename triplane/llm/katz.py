@@ -11,7 +11,7 @@ d(r) is Katz's Good-Turing discount of the order for r up to 5. g(h) is 1 unless
 1. Texts become chunks of bounded size, each with its own dictionary; nothing is dealt by key. The words of all
    dictionaries are counted and numbered, frequent ones low, and each chunk learns its words' numbers and counts.
 2. Order by order a chunk sends its distinct n-grams, with their training counts, to the buckets of their
-   histories. A bucket adds up the counts, which are the model's table of that order, and answers each chunk with
+   histories. A bucket adds up the counts, which are the model's table of that order (``fit`` keeps it), and answers each chunk with
    the counts of its n-grams and what discounts and backoff weights need of their histories. A history too
    frequent for a bucket has its followers dealt into shares; sums over its shares are joined back.
 3. With the answers of an order a chunk knows which histories of the next were seen, and in the end every token.
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, SPACE, U64, Scratch, Words, arrow_map, chunks, cut, from_varints, mix, packed, unpacked, utf8, varints
+from .common import MULTIPLIERS, SPACE, U64, Scratch, Words, arrow_map, chunks, cut, from_varints, mix, packed, ranked, unpacked, utf8, varints
 
 K = 5
 ADD = 0.1
@@ -192,7 +192,7 @@ class Level:
         history = np.empty(len(before), np.int64)
         history[1:] = before[:-1]
         history[unit.at[:-1]] = self.none
-        pair, self.node = np.unique(history * unit.size + unit.token, return_inverse=True)
+        pair, _, self.node = ranked(history * unit.size + unit.token)
         self.of, self.word = pair // unit.size, pair % unit.size
         self.n = len(pair)
         self.taught = np.bincount(self.node, weights=unit.train, minlength=self.n).astype(np.int64)
@@ -287,7 +287,7 @@ def _runs(data: np.ndarray, at: np.ndarray) -> pa.Array:
 def _varint_runs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """Runs of numbers as varints."""
     data, size = varints(values)
-    return _runs(data, np.concatenate([[0], np.cumsum(size)])[at])
+    return _runs(data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at])
 
 
 def _steps(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -327,11 +327,11 @@ def _bucket(order: int, weigh, model: bool):
         word, n, low, flags = _summed(numbers("w"), length), numbers("n"), numbers("lc"), numbers("flags")
         history = ids[0]
         for x in ids[1:]:
-            history = np.unique(history, return_inverse=True)[1] * (int(x.max(initial=0)) + 1) + x
-        known, of = np.unique(history, return_inverse=True)
+            history = ranked(history)[2] * (int(x.max(initial=0)) + 1) + x
+        known, _, of = ranked(history)
         record = np.repeat(np.arange(len(length)), length)
         entry = of[record]
-        pair, first, place = np.unique(entry * (int(word.max(initial=0)) + 1) + word, return_index=True, return_inverse=True)
+        pair, first, place = ranked(entry * (int(word.max(initial=0)) + 1) + word)
         c = np.bincount(place, weights=n, minlength=len(pair)).astype(np.int64)
         seen = np.flatnonzero(c > 0)
         cs, hs = c[seen], entry[first[seen]]
@@ -343,7 +343,8 @@ def _bucket(order: int, weigh, model: bool):
         split = flags >= 4
         found = c[place]
         misses = np.bincount(record, weights=found == 0, minlength=len(length)) > 0
-        given = np.where(split[:, None], 0, stats[of])
+        given = stats[of]
+        given[split] = 0
         low_given = np.where(~split & (misses | (flags & 1 > 0)), lows[of], 0.0)
         at = np.concatenate([[0], np.cumsum(size)])
         entries = np.concatenate([[0], np.cumsum(length)])[at]
@@ -544,7 +545,7 @@ def score_documents(docs: DataFrame, train: Column, order: int = 3, chunk_bytes:
     turns buckets are filled and chunks scored, which bounds the shuffled bytes on disk at a time. The tables are removed at the end.
     """
     with Scratch(docs.sparkSession) as keep:
-        out, m = _run(docs, train, None, keep, order, chunk_bytes, waves, True, key, text, True)
+        out, m = _run(docs, train, None, keep, order, chunk_bytes, waves, False, key, text, True)
         return _results(out, m, key)
 
 
