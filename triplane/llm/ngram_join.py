@@ -7,8 +7,8 @@ split by set size at a boundary that the cost of both over the size histogram de
   so a bucket's members join its least node and nothing is compared;
 * heavy sets are found by inverted lists. The first shingles by hash of linked sets have several in common, so a
   set stays only if that many of its own occur in another set's. Of what stays (near copies, mostly) the
-  inverted lists of the rarest shingles, enough that linked sets meet in one, join each list's members to
-  its least node; the clusters this makes hold every possible link. In a cluster the inverted lists of all
+  inverted lists of the rarest shingles of each set, enough that linked sets meet in one, join each list's
+  members to its least node; the clusters this makes hold every possible link. In a cluster the inverted lists of all
   shingles are scanned, in blocks of bounded size, then across blocks for what isn't one component by then, and
   only a spanning forest of the links leaves a task.
 
@@ -208,9 +208,10 @@ def survivors(docs: DataFrame, t: Threshold, light: int, k: int, text: str) -> D
     return counted.where("hits >= still").select("node")
 
 
-def rare_edges(sets: DataFrame, t: Threshold) -> DataFrame:
+def rare_edges(sets: DataFrame, t: Threshold, keep: Scratch) -> DataFrame:
     """``a, b``: lists of each set's rarest shingles, as many as a link can't avoid, join members to the list's least
-    node. A shingle of one set alone is the rarest there is: it only takes up room in its set's prefix."""
+    node. A shingle of one set alone is the rarest there is: it only takes up room in its set's prefix. Linked sets
+    both have the rarest shingle they share among these, so a set that holds one elsewhere is no member of its list."""
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = utf8(batch.column(1))
@@ -219,10 +220,12 @@ def rare_edges(sets: DataFrame, t: Threshold) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(room, size).astype(np.int32))], ["sig", "node", "room"])
 
     rows = arrow_map(sets.select("node", "members"), explode, "sig long, node long, room int")
-    lists = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("low")).where("df > 1")
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     of_node = W.partitionBy("node")
-    ranked = rows.join(lists, "sig").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "sig")), "shared": F.count(F.lit(1)).over(of_node)})
-    return ranked.where("rank <= room + shared AND node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    ranked = rows.join(shared, "sig").withColumns({"rank": F.row_number().over(of_node.orderBy("df", "sig")), "shared": F.count(F.lit(1)).over(of_node)})
+    members = keep.stored(ranked.where("rank <= room + shared").select("sig", "node"))
+    lists = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+    return members.join(lists, "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def scanned_links(t: Threshold, left: list[np.ndarray], right: list[np.ndarray] | None, root: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -356,7 +359,7 @@ def _components(docs: DataFrame, t: Threshold, k: int, key: str, text: str, bloc
     heavy = cut(survivors(docs, t, light, k, text))
     wanted = owners.where(F.col(key).isNotNull()).join(heavy, "node")
     sets = keep.stored(node_sets(docs, wanted, k, key, text))
-    clusters = connected_components(cut(rare_edges(sets, t))).select("node", F.col("component").alias("cluster"))
+    clusters = connected_components(cut(rare_edges(sets, t, keep))).select("node", F.col("component").alias("cluster"))
     links = verified_links(sets, clusters, t, block_sets, block_shingles, keep)
     links = cut(links.union(found) if found is not None else links)
     joined = connected_components(links)
